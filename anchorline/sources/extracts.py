@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +16,10 @@ def _struct(schema: str | T.StructType) -> T.StructType:
 def read_extract(spark: SparkSession, folder: str, prefix: str, schema: str | T.StructType,
                  recursive: bool = False, **options: str) -> DataFrame:
     """All files whose name starts with `prefix`, as one table; '.gz' files are read as they are.
-    Columns are matched by the header, so files may list them in different orders."""
+    Each file's header has to agree with the schema, so a shifted column fails instead of passing."""
     reader = (
         spark.read.schema(_struct(schema))
-        .option("header", True).option("enforceSchema", True)
+        .option("header", True).option("enforceSchema", False)
         .option("pathGlobFilter", f"{prefix}*")
         .option("recursiveFileLookup", recursive)
     )
@@ -54,10 +52,4 @@ def read_positional(spark: SparkSession, path: str, schema: str | T.StructType,
 def require_clean(df: DataFrame) -> DataFrame:
     """Make the query fail at the first row that did not parse, and drop the raw-line column."""
     bad = F.raise_error(F.concat(F.lit("line does not fit the schema: "), F.col(CORRUPT)))
-    checked = df.withColumn(CORRUPT, F.when(F.col(CORRUPT).isNotNull(), bad))
-    return checked.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-
-
-def column_names(path_columns: Sequence[str]) -> dict[str, str]:
-    """Extract headers in the dotted lower-case style of the analysis tables: 'Event Date' -> 'event.date'."""
-    return {c: c.strip().lower().replace(" ", ".") for c in path_columns}
+    return df.where(F.when(F.col(CORRUPT).isNull(), F.lit(True)).otherwise(bad.cast("boolean"))).drop(CORRUPT)
