@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,11 @@ from anchorline.operators.windows import (
 _DAY = timedelta(days=1)
 
 
+def _smallest() -> Column:
+    """Of results at one time, the smallest number."""
+    return F.col("result").asc_nulls_last()
+
+
 def anchors_from_list(listed: DataFrame, ids: DataFrame, one_per_subject: bool = True) -> DataFrame:
     """Patient list (fin, date, time) with internal ids: (encntr_id, fin, code_ts, ...). Listed accounts
     without an id together count as one subject when reduced to one anchor per subject."""
@@ -77,7 +82,7 @@ def first_result(df: DataFrame, include: DataFrame, event: str | None, name: str
     """First result per subject in the study set: (encntr_id, `name`)."""
     kept = df.where(F.col("event") == F.lit(event)) if event else df
     kept = restrict(numeric_result(kept), include, "encntr_id")
-    rows = first_row_per_subject(kept, "encntr_id", "event_ts", ["event", "result"])
+    rows = first_row_per_subject(kept, "encntr_id", "event_ts", ["event", _smallest()])
     return rows.select("encntr_id", F.col("result").alias(name))
 
 
@@ -102,7 +107,7 @@ def patient_table(demographics: DataFrame, visits: DataFrame, weights: DataFrame
 def first_values_wide(df: DataFrame, include: DataFrame, names: Sequence[str]) -> DataFrame:
     """First result per (subject, concept), one column per concept."""
     kept = restrict(numeric_result(df.where(in_concepts("event", names))), include, "encntr_id")
-    firsts = first_row_per_concept(kept, "encntr_id", "event", "event_ts", ["result"])
+    firsts = first_row_per_concept(kept, "encntr_id", "event", "event_ts", [_smallest()])
     return pivot_values(firsts, ["encntr_id"], "event", "result", names, strict=True)
 
 
@@ -156,7 +161,7 @@ def wide_series(include: DataFrame, df: DataFrame, names: Sequence[str] | None =
     """`peri_code` without repeats, one row per (fin, time) and one column per concept."""
     near = peri_code(include, df)
     names = names or discover_values(near, "event")
-    once = dedupe_first(near, ["fin", "event_ts", "event"], ["result"])
+    once = dedupe_first(near, ["fin", "event_ts", "event"], [_smallest()])
     return pivot_values(once, ["fin", "event_ts", "pre_code"], "event", "result", names, strict=True)
 
 
@@ -184,16 +189,17 @@ def location_at_event(include: DataFrame, stays: DataFrame, as_of: datetime) ->
 def labs_before(labs: DataFrame, events: DataFrame, names: Sequence[str]) -> DataFrame:
     """Last value of each lab before an event of the account, wide by (fin, time). `events`: fin, code_start,
     code_end."""
-    last = last_before(labs, events, ["fin"], "event_ts", "code_start", ["encntr_id", "event"], ["result"])
+    last = last_before(labs, events, ["fin"], "event_ts", "code_start", ["encntr_id", "event"], [_smallest()])
     return pivot_values(last, ["fin", "event_ts"], "event", "result", names, strict=True)
 
 
-def labs_during(labs: DataFrame, events: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Labs taken during an event, wide by (fin, time)."""
+def labs_during(labs: DataFrame, events: DataFrame, names: Sequence[str], strict: bool = True) -> DataFrame:
+    """Labs taken during an event, wide by (fin, time). Two results of one lab at one time have no wide
+    form: the query fails, or with `strict=False` keeps the larger."""
     inside = in_interval_window(
         labs, events.select("fin", "code_start", "code_end"), ["fin"], "event_ts", "code_start", "code_end"
     )
-    return pivot_values(inside, ["fin", "event_ts"], "event", "result", names, strict=True)
+    return pivot_values(inside, ["fin", "event_ts"], "event", "result", names, strict)
 
 
 def labs_before_during(labs: DataFrame, events: DataFrame, names: Sequence[str] | None = None) -> Mapping[str, DataFrame]:

@@ -49,7 +49,7 @@ def matched_cohort(features: DataFrame, id_col: str = "fin", treated: str = "ca_
     and after, and the sample counts."""
     M.require_units(features, id_col, [treated, *covariates])
     scored = stable(M.in_support(M.propensity_scores(features, treated, covariates), treated, "distance"))
-    pairs = M.greedy_match(scored.where("in_support"), id_col, treated, "distance", **limits)
+    pairs = stable(M.greedy_match(scored.where("in_support"), id_col, treated, "distance", **limits))
     flagged = (
         scored.join(M.matched_ids(pairs, id_col).withColumn("matched", F.lit(True)), id_col, "left")
         .withColumns({"matched": F.coalesce("matched", F.lit(False)), "discarded": ~F.col("in_support")})

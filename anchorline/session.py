@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def build_session(app: str = "anchorline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; `master` stays the cluster's if not given."""
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false").config(
+        "spark.ui.showConsoleProgress", "false"
+    )
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
