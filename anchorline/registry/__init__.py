@@ -1,13 +1,15 @@
 """All registered queries and their SQL counterparts."""
 
 
-def all_queries():
-    from anchorline.registry import operators
+def _loaded():
+    from anchorline.registry import operators, studies  # noqa: F401  (registers on import)
 
-    return dict(operators.QUERIES)
+    return operators
 
 
-def all_sql():
-    from anchorline.registry import operators
+def all_queries():
+    return dict(_loaded().QUERIES)
 
-    return dict(operators.SQL)
+
+def all_sql():
+    return dict(_loaded().SQL)
