@@ -1,7 +1,7 @@
 """Greedy matching of one bounded slice of the score line; runs inside Spark tasks.
 
-A cell stands for all units of one score: `n_t` treated and `n_c` control units, whose places in score
-order start at `t_start` and `c_start`. Cells come in descending score.
+A cell stands for all units of one score: `n_t` treated and `n_c` control units, whose places in the order
+of units start at `t_start` and `c_start`. Cells come in descending score.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorline.functions.clean import current_version, in_concepts
@@ -20,7 +20,7 @@ def index_events(cohort: DataFrame, clinical_event: DataFrame, ce_date_result: D
     ).select("encntr_id", "person_id", "event_id", "parent_event_id", "event_cd")
     dates = ce_date_result.where(current_version()).select("event_id", "result_dt_tm")
     return (
-        charted.join(cohort.select("encntr_id", "person_id").distinct(), ["encntr_id", "person_id"], "left_semi")
+        charted.join(cohort.select("encntr_id", "person_id"), ["encntr_id", "person_id"], "left_semi")
         .join(dates, "event_id")
         .select("encntr_id", "event_id", "parent_event_id", "event_cd", "result_dt_tm")
     )
@@ -44,17 +44,20 @@ def index_interval_outer(cohort: DataFrame, intervals: DataFrame, subject: str,
                          start: str = "start_ts", stop: str = "stop_ts") -> DataFrame:
     """Cohort -> its index groups -> start and stop, all outer.
 
-    `intervals` is the small result of `index_interval` by (subject, parent). Start and stop are
-    looked up by the parent alone, so a group without a parent keeps NULL times, and a subject
-    without a group keeps one row of NULLs.
+    `intervals` is the result of `index_interval` by (subject, parent), used once here, so that the events
+    behind it are scanned once. Start and stop are looked up by the parent alone: a group without a parent
+    keeps NULL times, and a parent shared by several subjects gives each of them all its starts and the
+    latest stop. A subject without a group keeps one row of NULLs.
     """
-    groups = intervals.select(subject, parent)
-    starts = intervals.where(F.col(start).isNotNull()).select(parent, start).distinct()
-    stops = intervals.where(F.col(stop).isNotNull()).groupBy(parent).agg(F.max(stop).alias(stop))
-    return (
-        cohort.join(groups, subject, "left")
-        .join(starts, parent, "left")
-        .join(stops, parent, "left")
-        .select(*cohort.columns, parent, start, stop)
-        .distinct()
+    # Groups without a parent stay apart: they are looked up nowhere, and may be many
+    family = Window.partitionBy(parent, F.when(F.col(parent).isNull(), F.col(subject)))
+    known = F.col(parent).isNotNull()
+    groups = (
+        intervals.select(subject, parent, start, stop)
+        .withColumns({"__starts": F.collect_set(start).over(family), stop: F.max(stop).over(family)})
+        .select(
+            subject, parent, F.when(known, F.col(stop)).alias(stop),
+            F.explode_outer(F.when(known, F.col("__starts"))).alias(start),
+        )
     )
+    return cohort.join(groups, subject, "left").select(*cohort.columns, parent, start, stop).distinct()

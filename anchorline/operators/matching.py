@@ -22,12 +22,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.operators import greedy
 from anchorline.operators.batches import with_row_index
-from anchorline.session import scratch_path
+from anchorline.session import scratch_path, stable
 
 cloudpickle.register_pickle_by_value(greedy)  # executors need not have the package installed
 
@@ -40,9 +40,12 @@ def require_units(df: DataFrame, id_col: str, required: Sequence[str]) -> DataFr
         missing = missing | F.col(c).isNull()
         if kinds[c] in ("double", "float"):
             missing = missing | F.isnan(c)
-    if not df.where(missing).isEmpty():
+    found = df.groupBy(id_col).agg(F.count("*").alias("n"), F.max(missing).alias("missing")).agg(
+        F.max("n").alias("n"), F.max("missing").alias("missing")
+    ).first()
+    if found["missing"]:
         raise ValueError(f"missing values in {[id_col, *required]}")
-    if not df.groupBy(id_col).count().where("count > 1").isEmpty():
+    if found["n"] is not None and found["n"] > 1:
         raise ValueError(f"{id_col} is not unique")
     return df
 
@@ -126,42 +129,28 @@ def _nearest(values: list[float | None]) -> list[float]:
     return out
 
 
-def _cells(units: DataFrame, block_cells: int) -> _Line:
-    spark = units.sparkSession
+def _line(units: DataFrame, block_cells: int) -> _Line:
+    """Cells in descending score, cut into blocks of `block_cells`."""
+    t = F.col("treated")
     counted = units.groupBy("score").agg(
-        F.count_if(F.col("treated")).alias("n_t"), F.count_if(~F.col("treated")).alias("n_c")
+        F.count_if(t).alias("n_t"), F.count_if(~t).alias("n_c"),
+        F.min(F.when(t, F.col("place"))).alias("t_start"), F.min(F.when(~t, F.col("place"))).alias("c_start"),
     )
-    numbered = with_row_index(counted, [F.col("score").desc()], "cell").withColumn(
-        "block", F.call_function("div", F.col("cell"), F.lit(block_cells))
+    cells = (
+        with_row_index(counted, [F.col("score").desc()], "cell")
+        .withColumn("block", F.call_function("div", F.col("cell"), F.lit(block_cells)))
+        .select("block", "cell", "score", "n_t", "n_c", "t_start", "c_start")
+        .fillna(0, ["t_start", "c_start"])
     )
-    path = scratch_path(spark, "match-cells")
-    numbered.repartition("block").sortWithinPartitions("block", "cell").write.parquet(path)
-    written = spark.read.parquet(path)
     free = F.when(F.col("n_c") > 0, F.col("score"))
     stats = sorted(
-        written.groupBy("block").agg(
-            F.count("*").alias("cells"), F.sum("n_t").alias("n_t"), F.sum("n_c").alias("n_c"),
-            F.max(free).alias("high"), F.min(free).alias("low"),
+        cells.groupBy("block").agg(
+            F.count("*").alias("cells"), F.sum("n_c").alias("n_c"), F.max(free).alias("high"), F.min(free).alias("low")
         ).collect(),
         key=lambda r: r["block"],
     )
-    starts, t, c = [], 0, 0
-    for row in stats:
-        starts.append((row["block"], t, c))
-        t, c = t + row["n_t"], c + row["n_c"]
-    offsets = spark.createDataFrame(starts, "block long, t_offset long, c_offset long")
-    # Running counts inside a block, which has at most block_cells rows
-    so_far = Window.partitionBy("block").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    placed = written.join(F.broadcast(offsets), "block").select(
-        "block", "cell", "score", "n_t", "n_c",
-        (F.col("t_offset") + F.coalesce(F.sum("n_t").over(so_far), F.lit(0))).alias("t_start"),
-        (F.col("c_offset") + F.coalesce(F.sum("n_c").over(so_far), F.lit(0))).alias("c_start"),
-    )
-    final = scratch_path(spark, "match-line")
-    placed.write.parquet(final)
     return _Line(
-        spark.read.parquet(final),
-        [r["cells"] for r in stats], [r["n_c"] for r in stats],
+        cells, [r["cells"] for r in stats], [r["n_c"] for r in stats],
         _nearest([r["low"] for r in stats]), _nearest([r["high"] for r in reversed(stats)])[::-1],
     )
 
@@ -205,6 +194,7 @@ def _match_short(line: _Line, runs: list[_Run], max_units: int) -> None:
 
 def _match_long(line: _Line, runs: list[_Run], max_units: int, reach: int) -> None:
     """One step per block (more when its neighbourhood runs dry), all runs in step."""
+    initial = stable(line.cells.repartition("block").sortWithinPartitions("block", "cell"))  # read by block
     free = list(line.controls_in)
     newest: dict[int, DataFrame] = {}
     at = {run.key: run.first for run in runs}
@@ -223,7 +213,7 @@ def _match_long(line: _Line, runs: list[_Run], max_units: int, reach: int) -> No
                 )
                 sources.setdefault(id(newest.get(b)), (newest.get(b), []))[1].append(b)
         parts = [
-            (line.cells if df is None else df).where(F.col("block").isin(blocks)) for df, blocks in sources.values()
+            (initial if df is None else df).where(F.col("block").isin(blocks)) for df, blocks in sources.values()
         ]
         cells = parts[0]
         for part in parts[1:]:
@@ -268,10 +258,15 @@ def greedy_match(scored: DataFrame, id_col: str, treated: str, score: str, block
     of controls stay unmatched. `block_cells` and `task_cells` bound what one task holds; they do not
     change the result.
     """
-    units = scored.select(
-        F.col(id_col).alias("id"), F.col(score).cast("double").alias("score"), F.col(treated).alias("treated")
+    # Each unit's place in the order of its group: one numbering, controls follow the treated
+    order = [F.col("treated").desc(), F.col("score").desc(), F.col("id")]
+    units = with_row_index(
+        scored.select(
+            F.col(id_col).alias("id"), F.col(score).cast("double").alias("score"), F.col(treated).alias("treated")
+        ),
+        order, "place",
     )
-    line = _cells(units, block_cells)
+    line = _line(units, block_cells)
     runs = [_Run(b, b, b) for b in range(len(line.cells_in))]
     next_key = len(runs)
     while True:
@@ -301,12 +296,11 @@ def greedy_match(scored: DataFrame, id_col: str, treated: str, score: str, block
         .select("t_start", "c_start", F.explode(F.sequence(F.lit(0), F.col("n_c") - 1)).alias("k"))
         .select((F.col("t_start") + F.col("k")).alias("t_place"), (F.col("c_start") + F.col("k")).alias("c_place"))
     )
-    order = [F.col("score").desc(), F.col("id")]
-    takers = with_row_index(units.where("treated"), order, "t_place").select(
-        "t_place", F.col("id").alias("treated_id"), F.col("score").alias("t_score")
+    takers = units.where("treated").select(
+        F.col("place").alias("t_place"), F.col("id").alias("treated_id"), F.col("score").alias("t_score")
     )
-    givers = with_row_index(units.where(~F.col("treated")), order, "c_place").select(
-        "c_place", F.col("id").alias("control_id"), F.col("score").alias("c_score")
+    givers = units.where(~F.col("treated")).select(
+        F.col("place").alias("c_place"), F.col("id").alias("control_id"), F.col("score").alias("c_score")
     )
     return (
         links.join(takers, "t_place").join(givers, "c_place")

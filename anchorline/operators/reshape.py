@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_WIDTH = 10_000
@@ -43,12 +43,16 @@ def pivot_values(df: DataFrame, keys: Sequence[str], concept: str, value: str, v
     return df.groupBy(*keys).agg(*aggs)
 
 
+def presence_columns(concept: str, values: Sequence[str], prefix: str = "", when: Column | None = None) -> list[Column]:
+    """Aggregates of a presence pivot: TRUE where the group has the concept (and `when` holds), else NULL."""
+    met = F.lit(True) if when is None else when
+    return [F.max(F.when((F.col(concept) == F.lit(v)) & met, True)).alias(f"{prefix}{v}") for v in values]
+
+
 def presence_pivot(df: DataFrame, keys: Sequence[str], concept: str, values: Sequence[str],
                    prefix: str = "") -> DataFrame:
     """One boolean column per concept: TRUE where the subject has it, else NULL."""
-    return df.groupBy(*keys).agg(
-        *(F.max(F.when(F.col(concept) == F.lit(v), True)).alias(f"{prefix}{v}") for v in values)
-    )
+    return df.groupBy(*keys).agg(*presence_columns(concept, values, prefix))
 
 
 def full_outer(frames: Sequence[DataFrame], on: str | list[str]) -> DataFrame:

@@ -23,10 +23,11 @@ from anchorline.operators.cohort import attach, first_anchor, restrict
 from anchorline.operators.extremes import minmax
 from anchorline.operators.firsts import dedupe_first, first_row_per_concept, first_row_per_subject
 from anchorline.operators.readmit import readmissions
-from anchorline.operators.reshape import assemble, discover_values, pivot_values, presence_pivot
+from anchorline.operators.reshape import assemble, discover_values, pivot_values, presence_columns
 from anchorline.operators.windows import (
-    before_bound, first_hours, from_bound, in_interval_window, in_point_window, last_before, stay_at_anchor,
+    first_hours, from_bound, in_interval_window, in_point_window, last_before, stay_at_anchor,
 )
+from anchorline.session import stable
 
 _DAY = timedelta(days=1)
 
@@ -78,11 +79,10 @@ def event_groups(measures: DataFrame, anchors: DataFrame, before: timedelta = _D
     )
 
 
-def first_result(df: DataFrame, include: DataFrame, event: str | None, name: str) -> DataFrame:
-    """First result per subject in the study set: (encntr_id, `name`)."""
+def first_result(df: DataFrame, event: str | None, name: str) -> DataFrame:
+    """First result per subject: (encntr_id, `name`)."""
     kept = df.where(F.col("event") == F.lit(event)) if event else df
-    kept = restrict(numeric_result(kept), include, "encntr_id")
-    rows = first_row_per_subject(kept, "encntr_id", "event_ts", ["event", _smallest()])
+    rows = first_row_per_subject(numeric_result(kept), "encntr_id", "event_ts", ["event", _smallest()])
     return rows.select("encntr_id", F.col("result").alias(name))
 
 
@@ -97,16 +97,16 @@ def patient_table(demographics: DataFrame, visits: DataFrame, weights: DataFrame
     back = readmissions(
         inpatient, "person_id", "encntr_id", "admit_ts", "index_ts", "disposition", C.EXCLUDED_DISPOSITION,
     ).select(F.col("index_id").alias("encntr_id"), F.col("facility").alias("readmit_facility"), "readmit_days")
-    weight = first_result(weights, include, "weight", "weight")
+    weight = first_result(restrict(weights, include.select("encntr_id"), "encntr_id"), "weight", "weight")
     return assemble(kept, [back, weight, ids.select("encntr_id", "fin").distinct()], "encntr_id").select(
         "fin", "age", "gender", "race", "weight", "length_stay", "disposition", "admit_ts", "discharge_ts",
         "readmit_facility", "readmit_days",
     )
 
 
-def first_values_wide(df: DataFrame, include: DataFrame, names: Sequence[str]) -> DataFrame:
+def first_values_wide(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """First result per (subject, concept), one column per concept."""
-    kept = restrict(numeric_result(df.where(in_concepts("event", names))), include, "encntr_id")
+    kept = numeric_result(df.where(in_concepts("event", names)))
     firsts = first_row_per_concept(kept, "encntr_id", "event", "event_ts", [_smallest()])
     return pivot_values(firsts, ["encntr_id"], "event", "result", names, strict=True)
 
@@ -114,14 +114,15 @@ def first_values_wide(df: DataFrame, include: DataFrame, names: Sequence[str]) -
 def admit_values(include: DataFrame, temps: DataFrame, labs: DataFrame, vitals: DataFrame, gcs: DataFrame,
                  lab_names: Sequence[str] | None = None, vital_names: Sequence[str] | None = None) -> DataFrame:
     """First temperature, labs, vitals and coma score of each subject in the study set, one row each.
-    Without given names, the names found in the data become the columns."""
+    Without given names, the names found in the data become the columns. Joining from the study set also
+    restricts each part to it, so the set is used once."""
     lab_names = lab_names or discover_values(restrict(labs, include, "encntr_id"), "event")
     vital_names = vital_names or discover_values(restrict(vitals, include, "encntr_id"), "event")
     frames = [
-        first_result(temps, include, None, "temperature"),
-        first_values_wide(labs, include, lab_names),
-        first_values_wide(vitals, include, vital_names),
-        first_result(gcs, include, "glasgow coma score", "gcs"),
+        first_result(temps, None, "temperature"),
+        first_values_wide(labs, lab_names),
+        first_values_wide(vitals, vital_names),
+        first_result(gcs, "glasgow coma score", "gcs"),
     ]
     return front(assemble(include.select("encntr_id", "fin"), frames, "encntr_id"), ["fin"], drop=["encntr_id"])
 
@@ -129,21 +130,19 @@ def admit_values(include: DataFrame, temps: DataFrame, labs: DataFrame, vitals:
 def med_exposure(include: DataFrame, meds: DataFrame, electrolyte_names: Sequence[str] | None = None) -> DataFrame:
     """Booleans per subject: anti-arrhythmics before the anchor, event drugs and electrolytes from it on."""
     bounds = include.select("encntr_id", "code_ts")
-    electrolytes = meds.where(matches("med", C.ELECTROLYTE_MEDS_PATTERN))
     if electrolyte_names is None:
+        electrolytes = meds.where(matches("med", C.ELECTROLYTE_MEDS_PATTERN))
         electrolyte_names = discover_values(
             from_bound(electrolytes, bounds, ["encntr_id"], "med_ts", "code_ts"), "med"
         )
-    before = before_bound(
-        meds.where(in_concepts("med", C.ANTIARRHYTHMICS)), bounds, ["encntr_id"], "med_ts", "code_ts"
+    later = [*C.EVENT_MEDS, *electrolyte_names]
+    doses = meds.where(in_concepts("med", {*C.ANTIARRHYTHMICS, *later})).join(bounds, "encntr_id")
+    before = is_before("med_ts", "code_ts")
+    given = doses.groupBy("encntr_id").agg(
+        *presence_columns("med", C.ANTIARRHYTHMICS, prefix="pre.", when=before),
+        *presence_columns("med", later, when=F.col("med_ts") >= F.col("code_ts")),
     )
-    wanted = [*C.EVENT_MEDS, *electrolyte_names]
-    after = from_bound(meds.where(in_concepts("med", wanted)), bounds, ["encntr_id"], "med_ts", "code_ts")
-    frames = [
-        presence_pivot(after, ["encntr_id"], "med", wanted),
-        presence_pivot(before, ["encntr_id"], "med", C.ANTIARRHYTHMICS, prefix="pre."),
-    ]
-    wide = assemble(include.select("encntr_id", "fin"), frames, "encntr_id")
+    wide = assemble(include.select("encntr_id", "fin"), [given], "encntr_id")
     return dense_booleans(front(wide, ["fin", "pre.*"], drop=["encntr_id"]))
 
 
@@ -154,7 +153,8 @@ def peri_code(include: DataFrame, df: DataFrame, before: timedelta = timedelta(h
         df.select("encntr_id", "event_ts", "event", "result"), include.select("encntr_id", "fin", "code_ts"),
         ["encntr_id"], "event_ts", "code_ts", before, after,
     )
-    return numeric_result(near).select("fin", "event_ts", "event", "result", is_before("event_ts", "code_ts").alias("pre_code"))
+    flagged = numeric_result(near).withColumn("pre_code", is_before("event_ts", "code_ts"))
+    return flagged.select("fin", "event_ts", "event", "result", "pre_code")
 
 
 def wide_series(include: DataFrame, df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -169,9 +169,7 @@ def admit_minmax(include: DataFrame, demographics: DataFrame, df: DataFrame, by_
                  hours: int = 24) -> DataFrame:
     """Minimum and maximum up to `hours` after admission; study subjects without a value keep one row."""
     kept = exclude_value(demographics, "facility", C.EXCLUDED_FACILITY).select("encntr_id", "admit_ts")
-    early = first_hours(
-        restrict(numeric_result(df), include, "encntr_id"), kept, ["encntr_id"], "event_ts", "admit_ts", hours
-    )
+    early = first_hours(numeric_result(df), kept, ["encntr_id"], "event_ts", "admit_ts", hours)
     keys = ["encntr_id", "event"] if by_concept else ["encntr_id"]
     wide = assemble(include.select("encntr_id", "fin"), [minmax(early, keys, "result")], "encntr_id")
     return front(wide, ["fin"], drop=["encntr_id"])
@@ -208,9 +206,11 @@ def labs_before_during(labs: DataFrame, events: DataFrame, names: Sequence[str]
     return {"labs_prior": labs_before(labs, events, names), "labs_during": labs_during(labs, events, names)}
 
 
-def study_tables(include: DataFrame, demographics: DataFrame, visits: DataFrame, ids: DataFrame, measures: Mapping[str, DataFrame],
-                 meds: DataFrame) -> dict[str, DataFrame]:
-    """The named tables of one study year. `measures` holds vitals, temps, labs, weights and gcs."""
+def study_tables(include: DataFrame, demographics: DataFrame, visits: DataFrame, ids: DataFrame,
+                 measures: Mapping[str, DataFrame], meds: DataFrame) -> dict[str, DataFrame]:
+    """The named tables of one study year. `measures` holds vitals, temps, labs, weights and gcs. The study
+    set, one row per subject, is written once, as every table starts from it."""
+    include = stable(include)
     return {
         "patients": patient_table(demographics, visits, measures["weights"], ids, include),
         "admit_values": admit_values(include, measures["temps"], measures["labs"], measures["vitals"], measures["gcs"]),
@@ -223,6 +223,7 @@ def study_tables(include: DataFrame, demographics: DataFrame, visits: DataFrame,
 
 def minmax_tables(include: DataFrame, demographics: DataFrame, measures: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """The named tables of admission extremes."""
+    include = stable(include)
     gcs = measures["gcs"].where(F.col("event") == F.lit("glasgow coma score"))
     return {
         "vitals": admit_minmax(include, demographics, measures["vitals"]),

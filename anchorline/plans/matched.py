@@ -47,6 +47,7 @@ def matched_cohort(features: DataFrame, id_col: str = "fin", treated: str = "ca_
                    covariates: Sequence[str] = ("cci", "code_duration"), **limits: int) -> dict[str, DataFrame]:
     """Score, common support on both sides, 1:1 match: the matched rows, the pairs, the balance before
     and after, and the sample counts."""
+    features = stable(features)
     M.require_units(features, id_col, [treated, *covariates])
     scored = stable(M.in_support(M.propensity_scores(features, treated, covariates), treated, "distance"))
     pairs = stable(M.greedy_match(scored.where("in_support"), id_col, treated, "distance", **limits))

@@ -49,6 +49,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder, so a lost executor cannot make it come out differently."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once to the shared folder and go on from there: work is not repeated, and a lost executor
+    cannot make it come out differently. Column names and types are kept."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -41,15 +41,14 @@ def sample(seed, n, share, grid, shift=0.0):
 
 
 @pytest.mark.parametrize(
-    "seed,n,share,grid,shift",
-    [(1, 300, 0.2, 1024, 0.0), (2, 400, 0.3, 64, 0.0), (3, 300, 0.5, 512, 0.2), (4, 200, 0.7, 128, 0.0)],
-)
-@pytest.mark.parametrize(
-    "limits",
+    "seed,n,share,grid,shift,limits",
     [
-        {},
-        {"block_cells": 16, "task_cells": 10_000},
-        {"block_cells": 7, "task_cells": 10, "reach": 1, "max_units": 3},
+        (1, 300, 0.2, 1024, 0.0, {}),
+        (2, 400, 0.3, 64, 0.0, {"block_cells": 16, "task_cells": 10_000}),
+        (3, 300, 0.5, 512, 0.2, {"block_cells": 16, "task_cells": 10_000}),
+        (4, 80, 0.4, 256, 0.1, {"block_cells": 7, "task_cells": 10, "reach": 1, "max_units": 3}),
+        (5, 60, 0.7, 128, 0.0, {"block_cells": 5, "task_cells": 10, "reach": 1, "max_units": 3}),
+        (6, 90, 0.5, 512, 0.3, {"block_cells": 9, "task_cells": 10}),
     ],
 )
 def test_equals_the_loop(spark, seed, n, share, grid, shift, limits):
@@ -58,8 +57,8 @@ def test_equals_the_loop(spark, seed, n, share, grid, shift, limits):
 
 
 def test_one_score_shared_by_most_units(spark):
-    rows = [(i, 0.5, i % 3 == 0) for i in range(300)] + [(1000 + i, i / 64, i % 2 == 0) for i in range(64)]
-    assert matched(spark, rows, block_cells=5, task_cells=12, max_units=7) == one_by_one(rows)
+    rows = [(i, 0.5, i % 3 == 0) for i in range(300)] + [(1000 + i, i / 32, i % 2 == 0) for i in range(32)]
+    assert matched(spark, rows, block_cells=8, task_cells=16, max_units=7) == one_by_one(rows)
 
 
 def test_no_controls(spark):
