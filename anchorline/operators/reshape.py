@@ -40,7 +40,7 @@ def pivot_values(df: DataFrame, keys: Sequence[str], concept: str, value: str, v
             message = F.lit(f"more than one row per key for {name}")
             cell = F.when(F.count(F.when(here, 1)) > 1, F.raise_error(message)).otherwise(cell)
         aggs.append(cell.alias(str(name)))
-    return df.groupBy(*keys).agg(*aggs)
+    return df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
 
 
 def presence_columns(concept: str, values: Sequence[str], prefix: str = "", when: Column | None = None) -> list[Column]:
@@ -52,7 +52,8 @@ def presence_columns(concept: str, values: Sequence[str], prefix: str = "", when
 def presence_pivot(df: DataFrame, keys: Sequence[str], concept: str, values: Sequence[str],
                    prefix: str = "") -> DataFrame:
     """One boolean column per concept: TRUE where the subject has it, else NULL."""
-    return df.groupBy(*keys).agg(*presence_columns(concept, values, prefix))
+    aggs = presence_columns(concept, values, prefix)
+    return df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
 
 
 def full_outer(frames: Sequence[DataFrame], on: str | list[str]) -> DataFrame:

@@ -50,6 +50,8 @@ def read_positional(spark: SparkSession, path: str, schema: str | T.StructType,
 
 
 def require_clean(df: DataFrame) -> DataFrame:
-    """Make the query fail at the first row that did not parse, and drop the raw-line column."""
-    bad = F.raise_error(F.concat(F.lit("line does not fit the schema: "), F.col(CORRUPT)))
+    """Make the query fail at the first row that did not parse, and drop the raw-line column. The message
+    names all columns, so that all are parsed whichever of them a query needs."""
+    values = F.to_json(F.struct(*(c for c in df.columns if c != CORRUPT)))
+    bad = F.raise_error(F.concat(F.lit("line does not fit the schema: "), F.col(CORRUPT), F.lit(" -> "), values))
     return df.where(F.when(F.col(CORRUPT).isNull(), F.lit(True)).otherwise(bad.cast("boolean"))).drop(CORRUPT)
