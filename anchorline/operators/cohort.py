@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorline.functions.concepts import ACCOUNT_ALIAS
-from anchorline.operators.firsts import first_rows
+from anchorline.operators.firsts import first_rows, nulls_last
 
 
 def cohort_from_list(spark: SparkSession, ids: Iterable, key: str = "alias", key_type: str = "string") -> DataFrame:
@@ -46,4 +46,4 @@ def first_anchor(df: DataFrame, key: str, anchor: str, tie: Sequence[str] = (),
     """Earliest anchor row per subject; rows without a subject id together count as one subject."""
     if drop_null_key:
         df = df.where(F.col(key).isNotNull())
-    return first_rows(df, [key], [F.col(anchor).asc_nulls_last(), *tie])
+    return first_rows(df, [key], [nulls_last(anchor), *tie])

@@ -1,14 +1,14 @@
 """First and last values and rows with stated tie rules.
 
-Values: one aggregate, so every task sends at most one row per group to the shuffle. Rows: a ranked
-window cut at rank 1, which Spark also applies before the shuffle. Neither gathers a large group.
+All are aggregates: every task reduces a group to one row before the shuffle, so a group of any size is
+never gathered. A ranking window would sort each group in one task wherever the rows already lie together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.functions.times import micros
@@ -40,10 +40,25 @@ def keep_last(df: DataFrame, keys: Sequence[str], ts: str, values: Mapping[str,
     return df.groupBy(*keys).agg(*aggs)
 
 
+def nulls_last(column: str | Column) -> Column:
+    """Order by a column, missing values last."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.struct(c.isNull().alias("missing"), c.alias("value"))
+
+
+def latest_first(ts: str) -> Column:
+    """Order by a time, latest first and missing times last."""
+    return nulls_last(-micros(ts))
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """One whole row per key, the first by `order`. NULL keys form one group."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rank", F.row_number().over(by)).where("__rank = 1").drop("__rank")
+    """One whole row per key: the smallest by `order`, then by all other columns, so the pick never depends
+    on arrival. NULL keys form one group; plain columns put NULL first."""
+    rest = [c for c in df.columns if c not in keys]
+    ranks = [(F.col(o) if isinstance(o, str) else o).alias(f"__rank_{i}") for i, o in enumerate(order)]
+    smallest = F.min(F.struct(*ranks, *(F.col(f"`{c}`") for c in rest))).alias("__row")
+    picked = df.groupBy(*keys).agg(smallest)
+    return picked.select(*keys, *(F.col("__row")[c].alias(c) for c in rest)).select(*(f"`{c}`" for c in df.columns))
 
 
 def first_row_per_concept(df: DataFrame, subject: str, concept: str, ts: str,
@@ -54,7 +69,7 @@ def first_row_per_concept(df: DataFrame, subject: str, concept: str, ts: str,
 
 def first_row_per_subject(df: DataFrame, subject: str, ts: str, tie: Sequence[str | Column] = ()) -> DataFrame:
     """First row per subject by time, all columns kept; a row without a time only if there is no other."""
-    return first_rows(df, [subject], [F.col(ts).asc_nulls_last(), *tie])
+    return first_rows(df, [subject], [nulls_last(ts), *tie])
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

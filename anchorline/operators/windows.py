@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.functions.times import cell, elapsed
-from anchorline.operators.firsts import first_rows
+from anchorline.operators.firsts import first_rows, latest_first
 
 DAY = timedelta(days=1)
 NONE = timedelta(0)
@@ -101,4 +101,4 @@ def last_before(measures: DataFrame, anchors: DataFrame, on: Sequence[str], ts:
     preceding the latest one, so anchors are first reduced to one row per subject."""
     latest = anchors.groupBy(*on).agg(F.max(anchor).alias("__latest"))
     earlier = before_bound(measures, latest, on, ts, "__latest").drop("__latest")
-    return first_rows(earlier, keys, [F.col(ts).desc(), *tie])
+    return first_rows(earlier, keys, [latest_first(ts), *tie])

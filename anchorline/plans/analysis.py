@@ -21,7 +21,7 @@ from anchorline.functions.clean import (
 from anchorline.functions.times import compose
 from anchorline.operators.cohort import attach, first_anchor, restrict
 from anchorline.operators.extremes import minmax
-from anchorline.operators.firsts import dedupe_first, first_row_per_concept, first_row_per_subject
+from anchorline.operators.firsts import dedupe_first, first_row_per_concept, first_row_per_subject, nulls_last
 from anchorline.operators.readmit import readmissions
 from anchorline.operators.reshape import assemble, discover_values, pivot_values, presence_columns
 from anchorline.operators.windows import (
@@ -34,7 +34,7 @@ _DAY = timedelta(days=1)
 
 def _smallest() -> Column:
     """Of results at one time, the smallest number."""
-    return F.col("result").asc_nulls_last()
+    return nulls_last("result")
 
 
 def anchors_from_list(listed: DataFrame, ids: DataFrame, one_per_subject: bool = True) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Extraction queries on the clinical warehouse: account numbers in, one table out."""
+"""Extraction queries on the clinical warehouse: account numbers in, one table out.
+
+The cohort and its index groups are written once per query. Both are small next to the event table, and
+as tables their size is known when the rest is planned: Spark then broadcasts them if they are small enough
+and scans the event table without a shuffle, else it joins by sort and merge.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +20,7 @@ from anchorline.operators.firsts import keep_first, keep_last
 from anchorline.operators.index import first_index, index_events, index_interval, index_interval_outer
 from anchorline.operators.lookup import sibling_events, with_display
 from anchorline.operators.windows import before_bound, in_interval_window
+from anchorline.session import stable
 from anchorline.sources.warehouse import Tables
 
 _SUBJECT = ["encntr_id", "person_id"]
@@ -28,16 +34,23 @@ def _charted(tables: Tables, event_class: int, codes, *columns: str, extra: Colu
     return tables.clinical_event.where(keep).select(*_SUBJECT, "event_cd", "event_end_dt_tm", *columns)
 
 
+def _cohort(ids: DataFrame, tables: Tables, *extra: str) -> DataFrame:
+    return stable(resolve_cohort(ids, tables.encntr_alias, tables.encounter, extra=extra))
+
+
 def _groups(cohort: DataFrame, tables: Tables) -> DataFrame:
+    """Start and stop per (encounter, parent); the event table is scanned once for it."""
     events = index_events(cohort, tables.clinical_event, tables.ce_date_result)
-    return index_interval(
-        events, ["encntr_id", "parent_event_id"], "event_cd", "result_dt_tm", C.INDEX_START, C.INDEX_STOP
+    return stable(
+        index_interval(
+            events, ["encntr_id", "parent_event_id"], "event_cd", "result_dt_tm", C.INDEX_START, C.INDEX_STOP
+        )
     )
 
 
 def index_intervals(ids: DataFrame, tables: Tables) -> DataFrame:
     """Per cohort member and index group its interval, in warehouse (UTC) time; outer."""
-    cohort = resolve_cohort(ids, tables.encntr_alias, tables.encounter)
+    cohort = _cohort(ids, tables)
     return index_interval_outer(cohort, _groups(cohort, tables), "encntr_id", "parent_event_id")
 
 
@@ -50,9 +63,10 @@ def code_dates(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFra
     ).distinct()
 
 
-def _status_before(first: DataFrame, tables: Tables) -> DataFrame:
+def _status_before(cohort: DataFrame, tables: Tables) -> DataFrame:
     """Last resuscitation status ordered and updated before the first index event. Subjects without
     such an order are not listed."""
+    first = first_index(_groups(cohort, tables), "encntr_id")
     placed = tables.orders.where(in_concepts("catalog_cd", C.RESUSCITATION_ORDERS)).select(
         "encntr_id", "order_id", "current_start_dt_tm"
     )
@@ -66,23 +80,17 @@ def _status_before(first: DataFrame, tables: Tables) -> DataFrame:
     )
 
 
-def _first_start(cohort: DataFrame, tables: Tables) -> DataFrame:
-    starts = index_events(cohort, tables.clinical_event, tables.ce_date_result, [C.INDEX_START])
-    return first_index(starts, "encntr_id", "result_dt_tm")
-
-
 def code_status(ids: DataFrame, tables: Tables) -> DataFrame:
     """Last resuscitation status before the first index event."""
-    cohort = resolve_cohort(ids, tables.encntr_alias, tables.encounter)
-    return _status_before(_first_start(cohort, tables), tables)
+    return _status_before(_cohort(ids, tables), tables)
 
 
 def cpr_events(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFrame:
     """Everything charted under an index event that is a date or a charted medication. The events are
     not reduced to their current version; the date result is, inside the outer join."""
-    index = index_intervals(ids, tables).where(F.col("parent_event_id").isNotNull()).select(
-        "alias", "parent_event_id"
-    ).distinct()
+    cohort = _cohort(ids, tables)
+    groups = _groups(cohort, tables).where(F.col("parent_event_id").isNotNull())
+    index = cohort.join(groups, "encntr_id").select("alias", "parent_event_id").distinct()
     events = tables.clinical_event.select("parent_event_id", "event_id", "event_cd", "event_class_cd", "result_val")
     names = tables.code_value.select(F.col("code_value").alias("event_cd"), F.col("display").alias("event"))
     dates = tables.ce_date_result.where(current_version()).select("event_id", "result_dt_tm")
@@ -96,9 +104,16 @@ def cpr_events(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFra
     ).distinct()
 
 
-def _around_index(ids: DataFrame, tables: Tables, measures: DataFrame, before: timedelta, after: timedelta) -> DataFrame:
-    anchors = index_intervals(ids, tables).select("alias", *_SUBJECT, "start_ts", "stop_ts").distinct()
-    return in_interval_window(measures, anchors, _SUBJECT, "event_end_dt_tm", "start_ts", "stop_ts", before, after)
+def _around_index(ids: DataFrame, tables: Tables, measures: DataFrame, before: timedelta, after: timedelta,
+                  width: timedelta = timedelta(days=1)) -> DataFrame:
+    """Measures of the cohort from start - before to stop + after; incomplete intervals have no window."""
+    anchors = stable(
+        index_intervals(ids, tables).where("start_ts is not null and stop_ts is not null")
+        .select("alias", *_SUBJECT, "start_ts", "stop_ts").distinct()
+    )
+    return in_interval_window(
+        measures, anchors, _SUBJECT, "event_end_dt_tm", "start_ts", "stop_ts", before, after, width
+    )
 
 
 def _measured(ids: DataFrame, tables: Tables, codes, before: timedelta, after: timedelta, prefix: str,
@@ -128,7 +143,8 @@ def event_meds(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFra
     """Resuscitation medication given between start and stop."""
     given = _charted(tables, C.CLASS_MED, C.RESUSCITATION_MEDS, "event_id")
     none = timedelta(0)
-    near = _around_index(ids, tables, given, none, none).join(tables.ce_med_result, "event_id")
+    near = _around_index(ids, tables, given, none, none, width=timedelta(hours=1))
+    near = near.join(tables.ce_med_result, "event_id")
     named = with_display(
         near, tables.code_value,
         {"event_cd": "medication", "dosage_unit_cd": "dose_units", "infusion_unit_cd": "rate_units",
@@ -143,9 +159,7 @@ def event_meds(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFra
 
 def demographics(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFrame:
     """One row per account: length of stay, age, race, sex, first weight in kg, last resuscitation status."""
-    cohort = resolve_cohort(
-        ids, tables.encntr_alias, tables.encounter, extra=("reg_dt_tm", "disch_dt_tm", "reason_for_visit")
-    )
+    cohort = _cohort(ids, tables, "reg_dt_tm", "disch_dt_tm", "reason_for_visit")
     weights = before_bound(
         _charted(tables, C.CLASS_NUMERIC, [C.WEIGHT], "result_val",
                  extra=F.col("result_units_cd") == F.lit(C.KILOGRAM)),
@@ -154,7 +168,7 @@ def demographics(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataF
     first_weight = keep_first(weights, ["encntr_id"], "event_end_dt_tm", {"weight": "result_val"})
     facts = attach(
         attach(cohort.join(tables.person, "person_id"), first_weight, "encntr_id"),
-        _status_before(_first_start(cohort, tables), tables), "encntr_id",
+        _status_before(cohort, tables), "encntr_id",
     )
     return with_display(facts, tables.code_value, {"race_cd": "race", "sex_cd": "sex"}).select(
         F.col("alias").alias("fin"), elapsed("disch_dt_tm", "reg_dt_tm", "days").alias("los"),
@@ -166,7 +180,7 @@ def demographics(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataF
 def baseline_values(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFrame:
     """First values before discharge: per category and unit for temperature, arterial pressure and heart
     rate, per concept and unit for the severity labs. One scan serves all four sets."""
-    cohort = resolve_cohort(ids, tables.encntr_alias, tables.encounter, extra=("disch_dt_tm",))
+    cohort = _cohort(ids, tables, "disch_dt_tm")
     categories = {"temperature": C.TEMPERATURES, "pressure": C.ARTERIAL_PRESSURES, "heart": C.HEART_RATES}
     every = sorted({code for codes in (*categories.values(), C.SEVERITY) for code in codes})
     known = before_bound(

@@ -13,6 +13,7 @@ from anchorline.registry import stand_ins as S
 from anchorline.registry.operators import register
 from anchorline.registry.stand_ins import spark_table as table
 from anchorline.registry.stand_ins import sql_with
+from anchorline.session import stable
 
 _LOCAL = "timezone('US/Central', timezone('UTC', {}))".format
 
@@ -149,7 +150,7 @@ def _anchors(spark, folder, one_per_subject=True):
 
 
 def _include(spark, folder):
-    return analysis.study_set(_anchors(spark, folder), S.demographics(spark, folder))
+    return stable(analysis.study_set(_anchors(spark, folder), S.demographics(spark, folder)))
 
 
 def _named(spark, folder, names):
