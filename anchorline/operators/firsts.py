@@ -16,12 +16,12 @@ from anchorline.functions.times import micros
 
 def first_value(value: str, ts: str) -> Column:
     """Largest value among the rows tied at the earliest time; a NULL time is later than any other."""
-    return F.max_by(value, F.struct(-micros(ts), F.col(value)))
+    return F.max(F.struct(-micros(ts), F.col(value).alias("value")))["value"]
 
 
 def last_value(value: str, ts: str) -> Column:
     """Largest value among the rows tied at the latest time; a NULL time is later than any other."""
-    return F.max_by(value, F.struct(F.col(ts).isNull(), F.col(ts), F.col(value)))
+    return F.max(F.struct(F.col(ts).isNull(), F.col(ts), F.col(value).alias("value")))["value"]
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], ts: str, values: Mapping[str, str],

@@ -44,10 +44,11 @@ def index_interval_outer(cohort: DataFrame, intervals: DataFrame, subject: str,
                          start: str = "start_ts", stop: str = "stop_ts") -> DataFrame:
     """Cohort -> its index groups -> start and stop, all outer.
 
-    `intervals` is the result of `index_interval` by (subject, parent), used once here, so that the events
-    behind it are scanned once. Start and stop are looked up by the parent alone: a group without a parent
-    keeps NULL times, and a parent shared by several subjects gives each of them all its starts and the
-    latest stop. A subject without a group keeps one row of NULLs.
+    `intervals` is the result of `index_interval` by (subject, parent), best as a written table, as it is used
+    twice. Start and stop are looked up by the parent alone: a group without a parent keeps NULL times, and a
+    parent shared by several subjects gives each of them all its starts and the latest stop. A subject without
+    a group keeps one row of NULLs; such rows are added to the inner join, because Spark can split a subject
+    with very many groups in an inner join, but not in an outer one.
     """
     # Groups without a parent stay apart: they are looked up nowhere, and may be many
     family = Window.partitionBy(parent, F.when(F.col(parent).isNull(), F.col(subject)))
@@ -60,4 +61,8 @@ def index_interval_outer(cohort: DataFrame, intervals: DataFrame, subject: str,
             F.explode_outer(F.when(known, F.col("__starts"))).alias(start),
         )
     )
-    return cohort.join(groups, subject, "left").select(*cohort.columns, parent, start, stop).distinct()
+    alone = cohort.join(intervals.select(subject).distinct(), subject, "left_anti")
+    return (
+        cohort.join(groups, subject).unionByName(alone, allowMissingColumns=True)
+        .select(*cohort.columns, parent, start, stop).distinct()
+    )

@@ -18,17 +18,28 @@ def with_display(df: DataFrame, code_value: DataFrame, columns: Mapping[str, str
 
 
 def left_with_condition(left: DataFrame, right: DataFrame, on: Sequence[str], right_filter) -> DataFrame:
-    """Left-outer join whose extra condition belongs to ON: rows stay, their right side is NULL."""
-    return left.join(right.where(right_filter), [*on], "left")
+    """Left-outer join whose extra condition belongs to ON: rows stay, their right side is NULL.
+
+    Written as the inner join plus the rows without a partner: Spark can split a key with very many right
+    rows in an inner join, but not in an outer one."""
+    wanted = right.where(right_filter)
+    alone = left.join(wanted.select(*on).distinct(), [*on], "left_anti")
+    return left.join(wanted, [*on]).unionByName(alone, allowMissingColumns=True)
 
 
 def outer_before(left: DataFrame, right: DataFrame, on: Sequence[str], ts: str, anchor: str) -> DataFrame:
-    """Left-outer join on equal keys and `ts` < `anchor`; subjects without an earlier row stay."""
-    test = F.col(ts) < F.col(anchor)
-    renamed = right.withColumnsRenamed({c: f"__right_{c}" for c in on})
+    """Left-outer join on equal keys and `ts` < `anchor`; subjects without an earlier row stay.
+
+    Split as in `left_with_condition`. Some row is earlier than the anchor if the key's first row is, so the
+    rows without a partner are found with one right row per key."""
+    first = right.groupBy(*on).agg(F.min(ts).alias("__first"))
+    renamed = first.withColumnsRenamed({c: f"__key_{c}" for c in on})
+    test = F.col("__first") < F.col(anchor)
     for c in on:
-        test = test & (F.col(c) == F.col(f"__right_{c}"))
-    return left.join(renamed, test, "left").drop(*(f"__right_{c}" for c in on))
+        test = test & (F.col(c) == F.col(f"__key_{c}"))
+    alone = left.join(renamed, test, "left_anti")
+    earlier = left.join(right, [*on]).where(F.col(ts) < F.col(anchor))
+    return earlier.unionByName(alone, allowMissingColumns=True)
 
 
 def sibling_events(index: DataFrame, events: DataFrame, parent: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorline.functions.times import cell, elapsed
@@ -30,9 +30,12 @@ def locf(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], column
     if width is None:
         return filled.drop("__cell")
 
-    position = F.struct(F.col(ts).isNull(), F.col(ts), *tie)
+    def end(c: str) -> Column:
+        row = F.struct(F.col(ts).isNull(), F.col(ts), *tie, F.col(c).alias("value"))
+        return F.max(F.when(F.col(c).isNotNull(), row))["value"]
+
     ends = cut.groupBy(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col("__cell").alias("__key_cell")).agg(
-        *(F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"__end_{c}") for c in columns)
+        *(end(c).alias(f"__end_{c}") for c in columns)
     )
     earlier = (
         Window.partitionBy(*(f"__key_{k}" for k in keys)).orderBy("__key_cell")

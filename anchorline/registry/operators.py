@@ -13,7 +13,7 @@ from anchorline.operators import batches, cohort, extremes, firsts, index, looku
 from anchorline.registry import stand_ins as S
 from anchorline.registry.stand_ins import spark_table as table
 from anchorline.registry.stand_ins import sql_with
-from anchorline.session import configure
+from anchorline.session import configure, stable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -268,7 +268,7 @@ left join stops e on e.parent_id = g.parent_id
 """)
 def index_interval_outer(spark, folder):
     members = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"))
-    outer = index.index_interval_outer(members, x_index(spark, folder), "user_id", "parent_id")
+    outer = index.index_interval_outer(members, stable(x_index(spark, folder)), "user_id", "parent_id")
     return outer.select(
         "user_id", "parent_id", times.to_local("start_ts").alias("start_local"),
         times.to_local("stop_ts").alias("stop_local"),
