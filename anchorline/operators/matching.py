@@ -51,22 +51,18 @@ def require_units(df: DataFrame, id_col: str, required: Sequence[str]) -> DataFr
 
 
 def propensity_scores(df: DataFrame, treated: str, covariates: Sequence[str], score: str = "distance") -> DataFrame:
-    """Add the probability of treatment by logistic regression on the covariates (no penalty)."""
-    from pyspark.ml.classification import LogisticRegression
+    """Add the probability of treatment by logistic regression on the covariates: the maximum-likelihood
+    fit by reweighted least squares, one pass over the data per iteration."""
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import GeneralizedLinearRegression
 
     ready = VectorAssembler(inputCols=list(covariates), outputCol="__x").transform(
         df.withColumn("__y", F.col(treated).cast("double"))
     )
-    fit = LogisticRegression(
-        featuresCol="__x", labelCol="__y", probabilityCol="__p", rawPredictionCol="__raw",
-        predictionCol="__class", regParam=0.0, maxIter=200, tol=1e-10,
+    fit = GeneralizedLinearRegression(
+        family="binomial", link="logit", featuresCol="__x", labelCol="__y", predictionCol=score, maxIter=50, tol=1e-10,
     ).fit(ready)
-    return (
-        fit.transform(ready).withColumn(score, vector_to_array("__p")[1])
-        .drop("__x", "__y", "__p", "__raw", "__class")
-    )
+    return fit.transform(ready).drop("__x", "__y")
 
 
 def support_bounds(df: DataFrame, treated: str, score: str) -> Column:

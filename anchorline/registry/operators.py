@@ -738,24 +738,80 @@ def balance_summary(spark, folder):
     return summary.select("sample", "variable", *(F.round(c, 6).alias(c) for c in numbers))
 
 
+# The likelihood fit by 25 Newton steps, the 3 x 3 system solved by Cramer's rule
+_FIT = """
+, obs as materialized (select c_custkey, treated, treated::int::double as y, c_acctbal as x1, n_orders::double as x2
+  from x_cov),
+fit(step, b0, b1, b2) as (
+  select 0, 0::double, 0::double, 0::double
+  union all
+  select step + 1,
+    b0 + (g0*(s11*s22 - s12*s12) - s01*(g1*s22 - s12*g2) + s02*(g1*s12 - s11*g2)) / det,
+    b1 + (s00*(g1*s22 - s12*g2) - g0*(s01*s22 - s12*s02) + s02*(s01*g2 - g1*s02)) / det,
+    b2 + (s00*(s11*g2 - g1*s12) - s01*(s01*g2 - g1*s02) + g0*(s01*s12 - s11*s02)) / det
+  from (select *, s00*(s11*s22 - s12*s12) - s01*(s01*s22 - s12*s02) + s02*(s01*s12 - s11*s02) as det from (
+    select step, b0, b1, b2, sum(w) as s00, sum(w*x1) as s01, sum(w*x2) as s02, sum(w*x1*x1) as s11,
+           sum(w*x1*x2) as s12, sum(w*x2*x2) as s22, sum(y-p) as g0, sum((y-p)*x1) as g1, sum((y-p)*x2) as g2
+    from (select *, p*(1-p) as w from (
+      select fit.*, obs.*, 1 / (1 + exp(-(b0 + b1*x1 + b2*x2))) as p from fit, obs where step < 25))
+    group by step, b0, b1, b2))),
+scored as materialized (select c_custkey, treated, x1, x2, 1 / (1 + exp(-(b0 + b1*x1 + b2*x2))) as score
+  from obs, fit where step = 25)
+"""
+
+
+def _pairs_sql(scored: str) -> str:
+    """One turn per treated unit; `scored` has c_custkey, treated and score."""
+    return f"""
+, kept as materialized (select c_custkey as id, treated, score as s from {scored} where case when treated
+  then score between (select min(score) from {scored} where not treated)
+                 and (select max(score) from {scored} where not treated)
+  else score between (select min(score) from {scored} where treated)
+                 and (select max(score) from {scored} where treated) end),
+queue as materialized (select id, s, row_number() over (order by s desc, id) as turn from kept where treated),
+pick(turn, treated_id, control_id, distance, taken) as (
+  select 0::bigint, null::bigint, null::bigint, null::double, []::bigint[]
+  union all
+  select turn, tid, cid, d, list_append(taken, cid) from (
+    select q.turn, q.id as tid, c.id as cid, abs(c.s - q.s) as d, p.taken,
+           row_number() over (order by abs(c.s - q.s), c.s desc, c.id) as r
+    from pick p join queue q on q.turn = p.turn + 1
+    join kept c on not c.treated and not list_contains(p.taken, c.id)) where r = 1),
+pairs as (select treated_id, control_id, distance from pick where turn > 0)
+"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+BY_BALANCE = recursive(sql_with("x_cov")) + ", plain as (select c_custkey, treated, c_acctbal as score from x_cov)" + (
+    _pairs_sql("plain")
+)
+BY_SCORE = recursive(sql_with("x_cov")) + _FIT + _pairs_sql("scored")
+
+
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     units = S.x_cov(spark, folder)
     matching.require_units(units, "c_custkey", ["treated", "c_acctbal", "n_orders"])
     return matching.propensity_scores(units, "treated", ["c_acctbal", "n_orders"])
 
 
-@register()
+@register(recursive(sql_with("x_cov")) + _FIT + "select c_custkey, treated, round(score, 6) as distance from scored")
 def propensity_scores(spark, folder):
     return _scored(spark, folder).select("c_custkey", "treated", F.round("distance", 6).alias("distance"))
 
 
-@register()
+@register(BY_BALANCE + "select * from pairs")
 def greedy_match(spark, folder):
     kept = matching.common_support(S.x_cov(spark, folder), "treated", "c_acctbal")
     return matching.greedy_match(kept, "c_custkey", "treated", "c_acctbal")
 
 
-@register()
+@register(BY_BALANCE + """
+select x.*, 1.0::double as weights from x_cov x
+where c_custkey in (select treated_id from pairs union all select control_id from pairs)
+""")
 def matched_sample(spark, folder):
     kept = matching.common_support(S.x_cov(spark, folder), "treated", "c_acctbal")
     return matching.matched_sample(kept, matching.greedy_match(kept, "c_custkey", "treated", "c_acctbal"), "c_custkey")

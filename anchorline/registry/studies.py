@@ -10,7 +10,7 @@ from anchorline.functions import concepts as C
 from anchorline.operators import matching
 from anchorline.plans import analysis, extraction, matched
 from anchorline.registry import stand_ins as S
-from anchorline.registry.operators import register
+from anchorline.registry.operators import BY_SCORE, register
 from anchorline.registry.stand_ins import spark_table as table
 from anchorline.registry.stand_ins import sql_with
 from anchorline.session import stable
@@ -458,3 +458,49 @@ def match_counts(spark, folder):
         {"matched": F.coalesce("matched", F.lit(False)), "discarded": ~F.col("in_support")}
     )
     return matching.sample_counts(flagged, "treated", "matched", "discarded")
+
+
+# The same study over the customers, small enough for a row-by-row SQL match
+
+_COVARIATES = ["c_acctbal", "n_orders"]
+
+
+def _customer_match(spark, folder):
+    return matched.matched_cohort(S.x_cov(spark, folder), "c_custkey", "treated", _COVARIATES)
+
+
+@register(BY_SCORE + """
+select t.c_custkey as treated_id, p.control_id from x_cov t left join pairs p on p.treated_id = t.c_custkey
+where t.treated
+""")
+def customer_match_pairs(spark, folder):
+    return _customer_match(spark, folder)["pairs"]
+
+
+@register(BY_SCORE + """
+select c_custkey, treated, x1 as c_acctbal, cast(x2 as bigint) as n_orders, round(score, 6) as distance,
+       1.0::double as weights
+from scored where c_custkey in (select treated_id from pairs union all select control_id from pairs)
+""")
+def customer_match_sample(spark, folder):
+    return _customer_match(spark, folder)["matched"].withColumn("distance", F.round("distance", 6))
+
+
+@register(BY_SCORE + """
+, used as (select treated_id as id from pairs union all select control_id from pairs),
+tall as (select c_custkey, treated, 'c_acctbal' as variable, x1 as x from scored
+  union all select c_custkey, treated, 'n_orders', x2 from scored
+  union all select c_custkey, treated, 'distance', score from scored),
+spread as (select variable, stddev_samp(x) as sd from tall where treated group by 1),
+sets as (select 'all' as sample, * from tall
+  union all select 'matched', * from tall where c_custkey in (select id from used)),
+means as (select sample, variable, avg(x) filter (treated) as t, avg(x) filter (not treated) as c,
+  stddev_samp(x) filter (not treated) as sd_c from sets group by 1, 2)
+select sample, variable, round(t, 5) as mean_treated, round(c, 5) as mean_control, round(sd_c, 5) as sd_control,
+       round(t - c, 5) as mean_diff, round((t - c) / sd, 5) as std_mean_diff
+from means join spread using (variable)
+""")
+def customer_match_balance(spark, folder):
+    numbers = ["mean_treated", "mean_control", "sd_control", "mean_diff", "std_mean_diff"]
+    balance = _customer_match(spark, folder)["balance"]
+    return balance.select("sample", "variable", *(F.round(c, 5).alias(c) for c in numbers))

@@ -103,7 +103,7 @@ def test_propensity_scores_are_the_likelihood_fit(spark):
     )
     got = {r.id: r.distance for r in M.propensity_scores(df, "treated", ["a", "b"]).collect()}
     want = 1 / (1 + np.exp(-design @ beta))
-    assert max(abs(got[i] - want[i]) for i in got) < 1e-5
+    assert max(abs(got[i] - want[i]) for i in got) < 1e-9
 
 
 def test_balance_and_counts(spark):
