@@ -324,6 +324,34 @@ def test_readmission_rules(spark):
         assert rows(got, "p", "v", "index_id", "readmit_days") == [(1, 11, 10, 30.0), (5, 52, 51, 5.0)]
 
 
+def test_readmission_clock_may_run_late_within_the_slack(spark):
+    late = [(1, 10, at(1), at(1, 12), "Home"), (1, 11, at(31, 6), None, "Home"), (1, 12, at(32), None, "Home")]
+    df = spark.createDataFrame(late, "p long, v long, admit timestamp_ntz, idx timestamp_ntz, disp string")
+    args = ("p", "v", "admit", "idx", "disp", "none")
+    for width in (None, dt.timedelta(days=2)):
+        assert rows(readmit.readmissions(df, *args, width=width), "v", "readmit_days") == [(11, 29.75)]
+    with pytest.raises(Exception, match="larger slack"):
+        readmit.readmissions(df, *args, slack=H(1)).collect()
+
+
+def test_readmissions_equal_the_loop(spark):
+    rnd = random.Random(12)
+    data = []
+    for v in range(250):
+        day = at(rnd.randrange(1, 200), rnd.randrange(24))
+        data.append((rnd.choice([1, 1, 2, None]), v, day, day if rnd.random() < 0.2 else None, rnd.choice(["Home", "out", None])))
+    df = spark.createDataFrame(data, "p long, v long, admit timestamp_ntz, idx timestamp_ntz, disp string").repartition(4)
+    want, clock = [], {}
+    for p, v, admit, idx, disp in sorted(data, key=lambda r: (r[2], r[1])):
+        if idx:
+            clock[p] = (idx, v)
+        if p in clock and disp == "Home" and dt.timedelta(0) < admit - clock[p][0] <= dt.timedelta(days=30):
+            want.append((v, clock[p][1]))
+    for width in (None, dt.timedelta(days=4)):
+        got = readmit.readmissions(df, "p", "v", "admit", "idx", "disp", "out", width=width)
+        assert sorted((r.v, r.index_id) for r in got.collect()) == sorted(want)
+
+
 # ---- batches
 
 def test_batches_and_row_index(spark):
