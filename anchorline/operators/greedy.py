@@ -98,11 +98,9 @@ def solve(cells: pd.DataFrame, max_units: int, keep_left: bool) -> pd.DataFrame:
         .agg(n_t=("n_t", "sum"), n_c=("n_c", "sum"))
         .assign(kind=STATUS)
     )
-    flow = pd.DataFrame(flows, columns=["t_start", "c_start", "n_c"]).assign(kind=FLOW)
-    out = pd.concat([flow, left, status] if keep_left else [flow, status], ignore_index=True)
-    out = out.reindex(columns=COLUMNS)
-    out["run"] = head["run"]
-    out["fail_above"], out["fail_below"] = fail_above, fail_below
-    for column in ("kind", "run", "block", "cell", "n_t", "n_c", "t_start", "c_start"):
-        out[column] = out[column].fillna(0).astype(np.int64)
-    return out
+    flow = pd.DataFrame(
+        np.array(flows, dtype=np.int64).reshape(-1, 3), columns=["t_start", "c_start", "n_c"]
+    ).assign(kind=FLOW)
+    parts = [flow, status, left] if keep_left else [flow, status]
+    out = pd.concat([p.reindex(columns=COLUMNS[:-2], fill_value=0) for p in parts], ignore_index=True)
+    return out.assign(run=head["run"], fail_above=fail_above, fail_below=fail_below)[COLUMNS]
