@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SITE_ZONE = "US/Central"
@@ -14,8 +14,16 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _require_utc() -> None:
+    session = SparkSession.getActiveSession()
+    zone = session.conf.get("spark.sql.session.timeZone") if session else "UTC"
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise RuntimeError(f"session zone is {zone}: clock changes would fold times; call session.configure first")
+
+
 def micros(ts: str | Column) -> Column:
-    """Microseconds since 1970 of a zone-less time (the session zone is UTC)."""
+    """Microseconds since 1970 of a zone-less time, read as UTC."""
+    _require_utc()
     return F.unix_micros(_col(ts).cast("timestamp"))
 
 

@@ -97,6 +97,15 @@ def test_elapsed_and_age(spark):
     assert old.select(times.whole_years("a", "b")).first()[0] == 43
 
 
+def test_other_session_zones_are_refused(spark):
+    spark.conf.set("spark.sql.session.timeZone", "US/Central")
+    try:
+        with pytest.raises(RuntimeError, match="configure"):
+            times.micros("ts")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 # ---- windows
 
 def _random_windows(spark, seed):
