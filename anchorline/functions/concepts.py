@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
+from anchorline.session import small_table
+
 # ---- Fixed values: results are only right with exactly these. ----
 
 # Warehouse codes
@@ -151,7 +153,7 @@ CONCEPT_SETS = {
 def concepts_table(spark: SparkSession) -> DataFrame:
     """The code lists as one small table (concept_set, code, display)."""
     rows = [(name, code, text) for name, codes in CONCEPT_SETS.items() for code, text in codes.items()]
-    return spark.createDataFrame(rows, "concept_set string, code long, display string")
+    return small_table(spark, rows, "concept_set string, code long, display string")
 
 
 def limits_table(spark: SparkSession) -> DataFrame:
@@ -161,6 +163,6 @@ def limits_table(spark: SparkSession) -> DataFrame:
         for group, names, low, high, mark in EVENT_GROUPS
         for name in names
     ]
-    return spark.createDataFrame(
-        rows, "event_group string, event string, low double, high double, low_open boolean"
+    return small_table(
+        spark, rows, "event_group string, event string, low double, high double, low_open boolean"
     )

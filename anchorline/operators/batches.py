@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.functions.concepts import EXTRACT_BATCH
-from anchorline.session import stable
+from anchorline.session import small_table, stable
 
 
 def with_row_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_index") -> DataFrame:
@@ -25,8 +25,8 @@ def with_row_index(df: DataFrame, order: Sequence[str | Column], name: str = "ro
     part = F.shiftright("__place", 33)
     counts = sorted((r[0], r[1]) for r in placed.groupBy(part.alias("part")).count().collect())
     starts = [0, *accumulate(n for _, n in counts)]
-    offsets = df.sparkSession.createDataFrame(
-        [(p, s) for (p, _), s in zip(counts, starts)], "__part long, __start long"
+    offsets = small_table(
+        df.sparkSession, ((p, s) for (p, _), s in zip(counts, starts)), "__part long, __start long"
     )
     return (
         placed.withColumn("__part", part)

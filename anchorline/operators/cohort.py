@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from anchorline.functions.concepts import ACCOUNT_ALIAS
 from anchorline.operators.firsts import first_rows, nulls_last
+from anchorline.session import small_table
 
 
 def cohort_from_list(spark: SparkSession, ids: Iterable, key: str = "alias", key_type: str = "string") -> DataFrame:
     """A cohort typed in by hand. Large cohorts are read as tables instead."""
-    return spark.createDataFrame([(i,) for i in ids], f"{key} {key_type}").distinct()
+    return small_table(spark, ((i,) for i in dict.fromkeys(ids)), f"{key} {key_type}")
 
 
 def resolve_cohort(ids: DataFrame, encntr_alias: DataFrame, encounter: DataFrame,

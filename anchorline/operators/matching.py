@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from anchorline.operators import greedy
 from anchorline.operators.batches import with_row_index
-from anchorline.session import scratch_path, stable
+from anchorline.session import scratch_path, small_table, stable
 
 cloudpickle.register_pickle_by_value(greedy)  # executors need not have the package installed
 
@@ -159,7 +159,7 @@ _ASSIGN = (
 def _solve(line: _Line, cells: DataFrame, assignment: list[tuple], max_units: int, keep_left: bool) -> DataFrame:
     """Match each run of the assignment in one task; the result is written before it is used."""
     spark = cells.sparkSession
-    plan = spark.createDataFrame(assignment, _ASSIGN)  # one row per block
+    plan = small_table(spark, assignment, _ASSIGN)  # one row per block
 
     def task(pdf):
         return greedy.solve(pdf, max_units, keep_left)
@@ -283,7 +283,7 @@ def greedy_match(scored: DataFrame, id_col: str, treated: str, score: str, block
         runs = merged
 
     spark = scored.sparkSession
-    final = spark.createDataFrame([(r.key,) for r in runs], "run long")  # one row per run
+    final = small_table(spark, ((r.key,) for r in runs), "run long")  # one row per run
     links = (
         spark.read.schema(greedy.SCHEMA).parquet(*line.steps)
         .where(F.col("kind") == greedy.FLOW)

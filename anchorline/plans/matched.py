@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from anchorline.functions.clean import equals, override
 from anchorline.functions.times import compose, elapsed
 from anchorline.operators import matching as M
-from anchorline.session import stable
+from anchorline.session import small_table, stable
 
 # End dates corrected by hand (patient id, only for this start date, end date).
 END_DATE_RULES = [
@@ -27,7 +27,7 @@ END_DATE_RULES = [
 
 
 def end_date_rules(spark: SparkSession, rules: Sequence[tuple] = END_DATE_RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "id long, only_start date, end_date date")
+    return small_table(spark, rules, "id long, only_start date, end_date date")
 
 
 def matching_features(sheet: DataFrame, rules: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorline.functions import concepts as C
+from anchorline.session import small_table
 from anchorline.sources.warehouse import Tables
 
 OPEN = "timestamp '2100-12-31 00:00:00'"
@@ -297,7 +298,7 @@ def code_value(spark: SparkSession, folder: str) -> DataFrame:
     nations = spark_table(spark, folder, "nation").select(
         F.col("n_nationkey").cast("long").alias("code_value"), F.col("n_name").alias("display")
     )
-    return nations.unionByName(spark.createDataFrame(_code_rows(), "code_value long, display string"))
+    return nations.unionByName(small_table(spark, _code_rows(), "code_value long, display string"))
 
 
 def _with_bounds(spark: SparkSession, folder: str) -> DataFrame:
@@ -311,19 +312,23 @@ def _facility():
     )
 
 
-def warehouse(spark: SparkSession, folder: str) -> Tables:
-    encounter = _with_bounds(spark, folder).select(
+def _encounter(spark: SparkSession, folder: str) -> DataFrame:
+    return _with_bounds(spark, folder).select(
         F.col("c_custkey").alias("encntr_id"), (F.col("c_custkey") + PERSON).alias("person_id"),
         F.col("admit_ts").alias("reg_dt_tm"), F.col("disch_ts").alias("disch_dt_tm"),
         F.col("c_mktsegment").alias("reason_for_visit"),
     )
-    named = {n: spark_table(spark, folder, n) for n in (
-        "encntr_alias", "person", "clinical_event", "ce_date_result", "ce_med_result", "order_detail",
-    )}
-    return Tables(
-        encounter=encounter, code_value=code_value(spark, folder), orders=spark_table(spark, folder, "resus_orders"),
-        **named,
-    )
+
+
+def warehouse(spark: SparkSession, folder: str) -> Tables:
+    def scan(name: str) -> DataFrame:
+        if name == "encounter":
+            return _encounter(spark, folder)
+        if name == "code_value":
+            return code_value(spark, folder)
+        return spark_table(spark, folder, "resus_orders" if name == "orders" else name)
+
+    return Tables(scan)
 
 
 def account_list(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "anchorline", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,6 +37,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A table of a few driver-made rows. It goes through Arrow into the plan itself, so Spark knows its size."""
+    names = T.StructType.fromDDL(schema).names
+    return spark.createDataFrame(pd.DataFrame(list(rows), columns=names, dtype=object), schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the cluster. Only local mode may fall back on a folder of its own."""
     context = spark.sparkContext

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +24,9 @@ SCHEMAS = {
 }
 
 
-@dataclass(frozen=True)
 class Tables:
-    """One DataFrame per warehouse table."""
+    """The warehouse tables as attributes, each opened at its first use: a query lists the files of the
+    tables it reads, and of no others."""
 
     encntr_alias: DataFrame
     encounter: DataFrame
@@ -38,10 +38,18 @@ class Tables:
     orders: DataFrame
     order_detail: DataFrame
 
+    def __init__(self, scan: Callable[[str], DataFrame]):
+        self._scan = scan
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        table = self._scan(name)
+        setattr(self, name, table)
+        return table
 
-def load(spark: SparkSession, folder: str, fmt: str = "parquet") -> Tables:
-    """Lazy scans of `folder`/<table> with declared schemas; nothing is inferred."""
-    def scan(name: str) -> DataFrame:
-        return spark.read.schema(SCHEMAS[name]).format(fmt).load(f"{folder.rstrip('/')}/{name}")
 
-    return Tables(**{f.name: scan(f.name) for f in fields(Tables)})
+def load(spark: SparkSession, folder: str, fmt: str = "parquet") -> Tables:
+    """Scans of `folder`/<table> with declared schemas; nothing is inferred."""
+    root = folder.rstrip("/")
+    return Tables(lambda name: spark.read.schema(SCHEMAS[name]).format(fmt).load(f"{root}/{name}"))

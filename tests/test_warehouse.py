@@ -51,7 +51,7 @@ class Chart:
             self.rows["order_detail"].append((order_id, *(meaning or [C.RESUSCITATION_DETAIL]), value, updated))
 
     def tables(self, spark):
-        return Tables(**{n: spark.createDataFrame(r, SCHEMAS[n]) for n, r in self.rows.items()})
+        return Tables(lambda name: spark.createDataFrame(self.rows[name], SCHEMAS[name]))
 
 
 @pytest.fixture
@@ -219,7 +219,8 @@ def test_baseline_first_values(spark, chart):
 def test_tables_are_read_with_declared_schemas(spark, chart, tmp_path):
     chart.encounter(1)
     chart.index(1, 10, start=at(5))
-    for name, df in vars(chart.tables(spark)).items():
-        df.write.parquet(f"{tmp_path}/{name}")
+    tables = chart.tables(spark)
+    for name in SCHEMAS:
+        getattr(tables, name).write.parquet(f"{tmp_path}/{name}")
     rows = E.code_dates(cohort_from_list(spark, ["F1"]), load(spark, str(tmp_path)), zone="UTC").collect()
     assert [r.code_start_datetime for r in rows] == [at(5)]
