@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from anchorline.llm import bpe
+from anchorline.llm import bpe, toxicity
 from anchorline.llm.common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +32,21 @@ def op3_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.digests(table(spark, folder, "documents"), path).withColumnRenamed("id", "doc_id")
+
+
+def toxic_model(spark: SparkSession, folder: str) -> toxicity.Model:
+    """Trained on rows that are not held out; labels of held-out rows are not read."""
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
+    docs = table(spark, folder, "documents").where(learn).select("doc_id", "text")
+    return toxicity.train(docs, table(spark, folder, "labels").where(learn))
+
+
+@register()
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document, and whether its label was held out."""
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text",
+        (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2).alias("held_out"),
+    )
+    scored = toxicity.score(docs, toxic_model(spark, folder), keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
