@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm import bpe, toxicity
+from anchorline.llm import bpe, packing, toxicity
 from anchorline.llm.common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,9 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
     scored = toxicity.score(docs, toxic_model(spark, folder), keep=["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@register()
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in windows of 1024 tokens."""
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
