@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm import bpe, packing, toxicity
+from anchorline.llm import bpe, packing, secret_scan, toxicity
 from anchorline.llm.common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,63 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in windows of 1024 tokens."""
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+SECRETS_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+patterns(no, kind, least) as (values
+    (0, 'assign', 8), (1, 'access', 16), (2, 'hex', 32), (3, 'private_key', 1), (4, 'hosted_git', 40),
+    (5, 'chat_bot', 20), (6, 'web_token', 40)),
+matched as (
+    select rid, no, kind, least,
+        case no
+            when 0 then regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0)
+            when 1 then regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0)
+            when 2 then regexp_extract_all(t, '[0-9a-f]+', 0)
+            when 3 then regexp_extract_all(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0)
+            when 4 then regexp_extract_all(t, 'gh[opsu]_[A-Za-z0-9]+', 0)
+            when 5 then regexp_extract_all(t, 'xox[abprs]-[A-Za-z0-9-]+', 0)
+            else regexp_extract_all(t, 'eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', 0) end as found,
+        case no
+            when 0 then regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)
+            else null end as second,
+        case no
+            when 0 then string_split_regex(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')
+            when 1 then string_split_regex(t, 'AKIA[A-Z0-9]+')
+            when 2 then string_split_regex(t, '[0-9a-f]+')
+            when 3 then string_split_regex(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----')
+            when 4 then string_split_regex(t, 'gh[opsu]_[A-Za-z0-9]+')
+            when 5 then string_split_regex(t, 'xox[abprs]-[A-Za-z0-9-]+')
+            else string_split_regex(t, 'eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+') end as gaps
+    from d, patterns),
+each as (
+    select rid, no, kind, least, unnest(range(1, len(found) + 1)) as i, unnest(found) as whole,
+        unnest(coalesce(second, found)) as checked, unnest(gaps[1:len(found)]) as gap
+    from matched where len(found) > 0),
+placed as (
+    select *, sum(length(gap) + length(whole)) over (partition by rid, no order by i) as stop from each),
+kept as (
+    select rid, no, kind, stop - length(whole) as start, stop from placed where length(checked) >= least),
+texts as (
+    select rid, count(*) filter (no = 0) as n_assign, count(*) filter (no = 1) as n_access,
+        count(*) filter (no = 2) as n_hex,
+        string_agg(concat(kind, ':', start, ':', stop), ',' order by start, no) filter (no < 3) as base,
+        string_agg(concat(kind, ':', start, ':', stop), ',' order by start, no) as spans
+    from kept group by rid)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+    sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join texts using (rid)
+"""
+
+
+@register(SECRETS_SQL)
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = secret_scan.find_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    count = lambda n: F.size(F.filter("spans", lambda x: x["kind"] == n)).cast("long")
+    base = secret_scan.listing(secret_scan.RULES, F.col("spans"), secret_scan.BASE)
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"),
+        secret_scan.listing(secret_scan.RULES, F.col("spans")).alias("spans"),
+    )
