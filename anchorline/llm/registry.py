@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm import bpe, packing, secret_scan, toxicity
+from anchorline.llm import bpe, near_dedup, packing, secret_scan, toxicity
 from anchorline.llm.common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,12 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"),
         secret_scan.listing(secret_scan.RULES, F.col("spans")).alias("spans"),
     )
+
+
+@register()
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of near-duplicates of every document, and the one that stays."""
+    docs = table(spark, folder, "documents")
+    found = near_dedup.near_duplicates(docs)
+    each = found.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
+    return each.select(F.col("id").alias("doc_id"), "class_id", (F.col("kept") & (F.col("__row") == 1)).alias("kept"))
