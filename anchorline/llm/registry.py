@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm import bpe, near_dedup, packing, secret_scan, toxicity
+from anchorline.llm import bpe, line_dedup, near_dedup, packing, secret_scan, toxicity
 from anchorline.llm.common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,14 @@ def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dedup.near_duplicates(docs)
     each = found.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
     return each.select(F.col("id").alias("doc_id"), "class_id", (F.col("kept") & (F.col("__row") == 1)).alias("kept"))
+
+
+@register()
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without later repeated runs of lines."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = line_dedup.drop_repeated_lines(docs)
+    return done.select(
+        "doc_id", F.col("deleted").alias("n_deleted"), F.col("left").alias("n_left"),
+        F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"),
+    )
