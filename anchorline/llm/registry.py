@@ -34,11 +34,10 @@ def op3_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), path).withColumnRenamed("id", "doc_id")
 
 
-def toxic_model(spark: SparkSession, folder: str) -> toxicity.Model:
+def toxic_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Trained on rows that are not held out; labels of held-out rows are not read."""
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
-    docs = table(spark, folder, "documents").where(learn).select("doc_id", "text")
-    return toxicity.train(docs, table(spark, folder, "labels").where(learn))
+    return toxicity.train(docs.where(learn).select("doc_id", "text"), labels.where(learn))
 
 
 @register()
@@ -48,7 +47,8 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "text",
         (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2).alias("held_out"),
     )
-    scored = toxicity.score(docs, toxic_model(spark, folder), keep=["doc_id", "held_out"])
+    model = toxic_model(docs, table(spark, folder, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
