@@ -5,7 +5,7 @@ unlabelled text. With class prior p the risk is p * R_pos(+) + max(0, R_unl(-) -
 corrected negative part is below zero, the step goes against it, so the classifier cannot explain the positives
 hidden in the unlabelled text away.
 
-Training reads a bounded sample (`max_positives`, `max_unlabelled` texts, the first by a hash of id and text); scoring
+Training reads a bounded sample (`max_positives`, `max_unlabelled` texts, the first by a hash of the id); scoring
 reads every whole text. Ids, languages and sources are never read by a score.
 
 Null and empty texts score sigmoid(bias), as a text without any known feature does. Repeated rows get equal
@@ -129,10 +129,16 @@ def train(
     if not totals[1]:
         return Model({}, float("-inf"))
     prior = min(max(totals[1] / totals[0], 1e-4), 0.5)
+    draw = lambda ids, most: ids.orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    texts = texts.withColumn("draw", F.xxhash64("id", "text"))
-    positive = texts.join(known.where("label = 1").select("id"), "id").orderBy("draw").limit(max_positives)
-    unlabelled = texts.orderBy("draw").limit(max_unlabelled)
+    ids = texts.select("id").where("id is not null").distinct()
+
+    def drawn(ids: DataFrame) -> DataFrame:
+        """One text for each of the ids, whose number is bounded; only their texts are shuffled."""
+        return texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))
+
+    marked = known.where("label = 1").select("id").join(ids, "id")
+    positive, unlabelled = drawn(draw(marked, max_positives)), drawn(draw(ids, max_unlabelled))
     sample = positive.select(F.lit(1).alias("kind"), "text").unionAll(unlabelled.select(F.lit(0), "text"))
     sample = sample.withColumn("no", F.monotonically_increasing_id())
 
