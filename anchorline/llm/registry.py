@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm import bpe, line_dedup, near_dedup, packing, secret_scan, toxicity
+from anchorline.llm import bpe, line_dedup, near_dedup, packing, secret_scan, toxicity, vector_dedup
 from anchorline.llm.common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,9 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.col("deleted").alias("n_deleted"), F.col("left").alias("n_left"),
         F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"),
     )
+
+
+@register()
+def op8_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vector_dedup.link_vectors(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
