@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm import bpe, line_dedup, near_dedup, packing, secret_scan, toxicity, vector_dedup
+from anchorline.llm import ann, bpe, line_dedup, near_dedup, packing, secret_scan, toxicity, vector_dedup
 from anchorline.llm.common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +142,10 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and component of every vector."""
     return vector_dedup.link_vectors(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@register()
+def op6_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    found = ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.withColumnRenamed("id", "vec_id")
