@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm import ann, bpe, line_dedup, near_dedup, packing, secret_scan, toxicity, vector_dedup
+from anchorline.llm import ann, bpe, line_dedup, near_dedup, packing, secret_scan, toxicity, url_filter, vector_dedup
 from anchorline.llm.common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,3 +149,20 @@ def op6_ann(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest vectors found for every twentieth vector."""
     found = ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
     return found.withColumnRenamed("id", "vec_id")
+
+
+URL_RULES = [
+    ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+
+
+@register()
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page: its rule's, else that of its path template."""
+    pages = url_filter.with_host_and_path(table(spark, folder, "pages").select("page_id", "url"))
+    judged = url_filter.judge(url_filter.apply_rules(pages, URL_RULES))
+    method = F.when(F.col("rejected"), "block").otherwise("allow")
+    return judged.select(
+        "page_id", "host", "path", "rule", F.coalesce("label", method).alias("verdict"), "template", "template_purity"
+    )
