@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm import ann, bpe, line_dedup, near_dedup, packing, secret_scan, toxicity, url_filter, vector_dedup
+from anchorline.llm import ann, bpe, chat_views, line_dedup, near_dedup, packing, secret_scan, toxicity, url_filter, vector_dedup
 from anchorline.llm.common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,3 +166,40 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(
         "page_id", "host", "path", "rule", F.coalesce("label", method).alias("verdict"), "template", "template_purity"
     )
+
+
+CHAT_SQL = r"""
+with said as (
+    select distinct conv_id, turn, role, replace(coalesce(text, ''), '<|im_', '<| im_') as text from conversations),
+speakers as (select distinct conv_id, role as perspective from said where role <> 'system'),
+marked as (
+    select s.conv_id, p.perspective, cast(floor(s.turn / 64) as bigint) as part, s.turn,
+        coalesce(s.role, 'unknown') as role, s.role is null as nobody, s.text, coalesce(s.role = p.perspective, false) as own,
+        concat('<|im_start|>', case when coalesce(s.role = p.perspective, false) then 'assistant'
+            when s.role = 'system' then 'system' else concat('user name=', coalesce(s.role, 'unknown')) end, chr(10)) as head,
+        concat(s.text, '<|im_end|>') as body
+    from said s join speakers p on s.conv_id is not distinct from p.conv_id),
+placed as (
+    select *, sum(length(head) + length(body) + 1) over w as stop,
+        row_number() over w as nth
+    from marked window w as (
+        partition by conv_id, perspective, part order by turn is null, turn, role, nobody, text
+        rows between unbounded preceding and current row))
+select conv_id, perspective, part, count(*) as n_turns,
+    sha256(string_agg(concat(head, body, chr(10)), '' order by nth)) as rendered_sha256,
+    sum(length(head) + length(body) + 1)::bigint as n_chars,
+    coalesce(string_agg(concat(stop - 1 - length(body), ':', stop - 1), ',' order by nth) filter (own), '') as mask
+from placed group by conv_id, perspective, part
+"""
+
+
+@register(CHAT_SQL)
+def op10_chat_views(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation as each of its speakers, with masks."""
+    views = chat_views.perspectives(table(spark, folder, "conversations"))
+    shown = F.transform("mask", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return views.select(
+        "conv_id", "perspective", "part", "n_turns",
+        F.sha2(F.encode("rendered", "UTF-8"), 256).alias("rendered_sha256"),
+        F.length("rendered").cast("long").alias("n_chars"), F.array_join(shown, ",").alias("mask"),
+    )
