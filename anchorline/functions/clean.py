@@ -105,27 +105,27 @@ def tag(df: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def override(df: DataFrame, rules: DataFrame, on: list[str], column: str, replacement: str,
-             only_when: str | None = None) -> DataFrame:
-    """Replace `column` by the rule's value where a rule matches on `on`, else keep it.
+             only_when: str | None = None, rank: str | None = None) -> DataFrame:
+    """Replace `column` by the value of the first rule that fits on `on`, else keep it. Rows are not multiplied.
 
-    `only_when` names a rule column that, if not NULL, must equal the same-named data column.
-    Rules hold at most one row per key and condition.
+    `only_when` names a rule column that, if not NULL, must equal the same-named data column. `rank` names the rule
+    column that orders the rules; without it, rules with a condition come before those without, then the smaller
+    condition and value. The rules of one key are a hand-written list and are kept together.
     """
-    renamed = rules.select(
-        *(F.col(c).alias(f"__rule_{c}") for c in on),
-        F.col(replacement).alias("__rule_value"),
-        *([F.col(only_when).alias("__rule_only")] if only_when else []),
+    condition = F.col(only_when) if only_when else F.lit(None)
+    rule = F.struct(
+        *([F.col(rank).alias("rank")] if rank else []), condition.isNull().alias("always"), condition.alias("only"),
+        F.col(replacement).alias("value"),
+    )
+    listed = rules.groupBy(*(F.col(c).alias(f"__rule_{c}") for c in on)).agg(
+        F.array_sort(F.collect_list(rule)).alias("__rules")
     )
     test = F.lit(True)
     for c in on:
         test = test & (F.col(c) == F.col(f"__rule_{c}"))
-    if only_when:
-        test = test & (F.col("__rule_only").isNull() | (F.col("__rule_only") == F.col(only_when)))
-    return (
-        df.join(renamed, test, "left")
-        .withColumn(column, F.coalesce("__rule_value", column))
-        .select(*df.columns)
-    )
+    fits = lambda r: r["always"] | (r["only"] == F.col(only_when)) if only_when else F.lit(True)
+    first = F.get(F.filter("__rules", fits), F.lit(0))["value"]
+    return df.join(listed, test, "left").withColumn(column, F.coalesce(first, column)).select(*df.columns)
 
 
 def dense_booleans(df: DataFrame) -> DataFrame:

@@ -38,12 +38,13 @@ def to_local(ts: str | Column, zone: str = SITE_ZONE) -> Column:
 
 
 def compose(date: str | Column, time: str | Column) -> Column:
-    """Date part of one column and time of day of another, as one timestamp; NULL if either is NULL."""
+    """Date part of one column and time of day of another, fractions of a second included, as one timestamp;
+    NULL if either is NULL."""
     d, t = _col(date), _col(time)
     return F.call_function(
         "try_make_timestamp_ntz",
         F.year(d), F.month(d), F.dayofmonth(d),
-        F.hour(t), F.minute(t), F.second(t).cast("decimal(16,6)"),
+        F.hour(t), F.minute(t), F.extract(F.lit("SECOND"), t).cast("decimal(16,6)"),
     )
 
 

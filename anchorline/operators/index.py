@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.functions.clean import current_version, in_concepts
@@ -50,16 +50,15 @@ def index_interval_outer(cohort: DataFrame, intervals: DataFrame, subject: str,
     a group keeps one row of NULLs; such rows are added to the inner join, because Spark can split a subject
     with very many groups in an inner join, but not in an outer one.
     """
-    # Groups without a parent stay apart: they are looked up nowhere, and may be many
-    family = Window.partitionBy(parent, F.when(F.col(parent).isNull(), F.col(subject)))
-    known = F.col(parent).isNotNull()
-    groups = (
-        intervals.select(subject, parent, start, stop)
-        .withColumns({"__starts": F.collect_set(start).over(family), stop: F.max(stop).over(family)})
-        .select(
-            subject, parent, F.when(known, F.col(stop)).alias(stop),
-            F.explode_outer(F.when(known, F.col("__starts"))).alias(start),
-        )
+    known = intervals.where(F.col(parent).isNotNull())
+    last = known.groupBy(parent).agg(F.max(stop).alias(stop), F.max(start).alias("__any"))
+    starts = known.where(F.col(start).isNotNull()).select(parent, start).distinct()
+    nothing = F.lit(None).cast(intervals.schema[start].dataType).alias(start)
+    times = last.drop("__any").join(starts, parent).select(parent, start, stop).unionAll(
+        last.where(F.col("__any").isNull()).select(parent, nothing, stop)
+    )
+    groups = known.select(subject, parent).join(times, parent).unionByName(
+        intervals.where(F.col(parent).isNull()).select(subject, parent), allowMissingColumns=True
     )
     alone = cohort.join(intervals.select(subject).distinct(), subject, "left_anti")
     return (

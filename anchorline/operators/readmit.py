@@ -56,7 +56,7 @@ def locf(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], column
 
 def readmissions(visits: DataFrame, person: str, visit: str, admit: str, index_ts: str, disposition: str,
                  excluded: str, days: int = 30, index_id: str = "index_id", days_as: str = "readmit_days",
-                 slack: timedelta = timedelta(days=1), width: timedelta | None = None) -> DataFrame:
+                 width: timedelta | None = None) -> DataFrame:
     """Visits 0 < days <= `days` after the person's latest index visit.
 
     `visits` are the inpatient visits; `index_ts` is not NULL on index visits and starts the clock (the
@@ -64,19 +64,16 @@ def readmissions(visits: DataFrame, person: str, visit: str, admit: str, index_t
     itself a readmission. Visits with the excluded or no disposition are dropped once the clock is set.
 
     Only index visits of the last `days` days matter. So the time line is cut into cells, each visit goes to
-    its cell, each index visit also to the later cells within reach, and the fill-down runs within (person,
-    cell): one pass, one shuffle, and a person with very many visits is spread over the cells. `slack` bounds
-    how much later than the visit's own admission its `index_ts` may be; the query fails beyond it.
+    its cell, each index visit also to the later cells within reach of its admission or of its `index_ts`,
+    whichever is later, and the fill-down runs within (person, cell): one pass, one shuffle, and a person with
+    very many visits is spread over the cells.
     """
-    reach = timedelta(days=days) + slack
+    reach = timedelta(days=days)
     width = width or reach
     is_index = F.col(index_ts).isNotNull()
-    here, last = cell(admit, width), cell(F.col(admit) + F.lit(reach), width)
-    late = F.raise_error(F.lit(f"an index time is more than {slack} after its visit; give a larger slack"))
-    checked = F.when(F.col(index_ts) > F.col(admit) + F.lit(slack), late.cast("timestamp_ntz")).otherwise(F.col(index_ts))
+    here, last = cell(admit, width), cell(F.greatest(admit, index_ts) + F.lit(reach), width)
     placed = visits.where(F.col(admit).isNotNull()).select(
-        *(c for c in visits.columns if c != index_ts),
-        checked.alias(index_ts),
+        *visits.columns,
         F.when(is_index, F.col(visit)).alias(index_id),
         F.explode(F.when(is_index, F.sequence(here, last)).otherwise(F.array(here))).alias("__cell"),
     )

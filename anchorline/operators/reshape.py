@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_WIDTH = 10_000
-
 
 def vocabulary(frames: Sequence[tuple[DataFrame, str]], name: str = "event") -> DataFrame:
     """Distinct names of each source, stacked (a name used by two sources is listed twice)."""
@@ -17,10 +15,12 @@ def vocabulary(frames: Sequence[tuple[DataFrame, str]], name: str = "event") ->
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def discover_values(df: DataFrame, column: str, limit: int = MAX_WIDTH) -> list:
-    """Distinct values to become columns, sorted. Fails rather than widen a table without bound."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+def discover_values(df: DataFrame, column: str, limit: int | None = None) -> list:
+    """Distinct values to become columns, sorted: as many as the result shall have columns. With `limit` it
+    fails rather than return more."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    rows = (values if limit is None else values.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"{column} has more than {limit} distinct values; too many for columns")
     return sorted(r[0] for r in rows)
 

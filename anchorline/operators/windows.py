@@ -1,9 +1,12 @@
 """Joins of measurements to anchors by subject and time.
 
 A join on the subject alone would compare every measurement of a subject with every anchor of that
-subject. The time line is therefore cut into cells: an interval is listed once per cell it touches, a
-point falls into one cell, and the join runs on (subject, cell). A subject with very many rows is
-thereby spread over many tasks, and the exact time test is repeated afterwards.
+subject. The time line is therefore cut into cells, and the join runs on (subject, cell). A subject with
+very many rows is thereby spread over many tasks, and the exact time test is repeated afterwards.
+
+Cells come in levels, each twice as wide as the one below. An interval belongs to the lowest level whose cells
+are not shorter than itself, so it touches two or three cells however long it is; a mistyped date far in the future
+costs no more rows than any other. A point falls into one cell of each level that occurs, nearly always one.
 """
 
 from __future__ import annotations
@@ -14,15 +17,23 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.functions.times import cell, elapsed
+from anchorline.functions.times import elapsed, micros
 from anchorline.operators.firsts import first_rows, latest_first
 
 DAY = timedelta(days=1)
 NONE = timedelta(0)
 
 
-def _touched_cells(lo: Column, hi: Column, width: timedelta) -> Column:
-    return F.explode(F.sequence(cell(lo, width), cell(hi, width)))
+def _level(lo: Column, hi: Column, width: timedelta) -> Column:
+    """How often `width` has to be doubled to be as long as the interval (one more or less does no harm)."""
+    doublings = F.ceil(F.log2((micros(hi) - micros(lo)) / F.lit(width // timedelta(microseconds=1))))
+    return F.greatest(F.coalesce(doublings, F.lit(0)), F.lit(0)).cast("int")
+
+
+def _cell(ts: Column, width: timedelta, level: Column) -> Column:
+    """Number of the cell of a level that holds `ts`; never decreases with time."""
+    base = F.lit(width // timedelta(microseconds=1)).cast("long")
+    return F.call_function("div", micros(ts), F.call_function("shiftleft", base, level))
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], ts: str, lo: Column, hi: Column,
@@ -32,16 +43,18 @@ def interval_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], ts
     shared = (set(points.columns) & set(intervals.columns)) - set(on)
     if shared:
         raise ValueError(f"columns on both sides: {sorted(shared)}")
-    right = (
-        intervals.withColumns({"__lo": lo, "__hi": hi})
-        .where("__lo <= __hi")
-        .withColumn("__cell", _touched_cells(F.col("__lo"), F.col("__hi"), width))
+    bounded = (
+        intervals.withColumns({"__lo": lo, "__hi": hi}).where("__lo <= __hi")
+        .withColumn("__level", _level(F.col("__lo"), F.col("__hi"), width))
     )
-    left = points.withColumn("__cell", cell(ts, width))
+    at = lambda ts: _cell(F.col(ts), width, F.col("__level"))
+    right = bounded.withColumn("__cell", F.explode(F.sequence(at("__lo"), at("__hi"))))
+    levels = bounded.select(F.collect_set("__level")).scalar()  # a few dozen numbers at the very most
+    left = points.withColumn("__level", F.explode(levels)).withColumn("__cell", at(ts))
     return (
-        left.join(right, [*on, "__cell"])
+        left.join(right, [*on, "__level", "__cell"])
         .where(F.col(ts).between(F.col("__lo"), F.col("__hi")))
-        .drop("__cell", "__lo", "__hi")
+        .drop("__level", "__cell", "__lo", "__hi")
     )
 
 

@@ -114,10 +114,13 @@ def first_values_wide(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def admit_values(include: DataFrame, temps: DataFrame, labs: DataFrame, vitals: DataFrame, gcs: DataFrame,
                  lab_names: Sequence[str] | None = None, vital_names: Sequence[str] | None = None) -> DataFrame:
     """First temperature, labs, vitals and coma score of each subject in the study set, one row each.
-    Without given names, the names found in the data become the columns. Joining from the study set also
-    restricts each part to it, so the set is used once."""
-    lab_names = lab_names or discover_values(restrict(labs, include, "encntr_id"), "event")
-    vital_names = vital_names or discover_values(restrict(vitals, include, "encntr_id"), "event")
+    Without given names, the names found in the data become the columns. Each part is restricted to the study
+    set before anything is sorted or aggregated."""
+    temps, labs, vitals, gcs = (
+        restrict(df, include.select("encntr_id"), "encntr_id") for df in (temps, labs, vitals, gcs)
+    )
+    lab_names = lab_names or discover_values(labs, "event")
+    vital_names = vital_names or discover_values(vitals, "event")
     frames = [
         first_result(temps, None, "temperature"),
         first_values_wide(labs, lab_names),
@@ -169,6 +172,7 @@ def admit_minmax(include: DataFrame, demographics: DataFrame, df: DataFrame, by_
                  hours: int = 24) -> DataFrame:
     """Minimum and maximum up to `hours` after admission; study subjects without a value keep one row."""
     kept = exclude_value(demographics, "facility", C.EXCLUDED_FACILITY).select("encntr_id", "admit_ts")
+    kept = restrict(kept, include.select("encntr_id"), "encntr_id")
     early = first_hours(numeric_result(df), kept, ["encntr_id"], "event_ts", "admit_ts", hours)
     keys = ["encntr_id", "event"] if by_concept else ["encntr_id"]
     wide = assemble(include.select("encntr_id", "fin"), [minmax(early, keys, "result")], "encntr_id")

@@ -233,6 +233,35 @@ def date_override(spark, folder):
     return clean.override(orders, rules, ["o_custkey"], "end_date", "fixed_end", only_when="start_date")
 
 
+@register("""
+with rules as (
+  select c_custkey, 1 as rank, timestamp '1996-01-01 00:00:00' + (c_custkey % 365) * interval 1 day as only_start,
+         timestamp '2003-01-01 00:00:00' as fixed from customer where c_custkey % 3 = 0
+  union all select c_custkey, 2, null, timestamp '2001-01-01 00:00:00' from customer where c_custkey % 2 = 0
+  union all select c_custkey, 3, null, timestamp '2002-01-01 00:00:00' from customer where c_custkey % 5 = 0)
+select o_orderkey, o_custkey, o_orderdate as start_date, coalesce(
+  (select arg_min(fixed, rank) from rules where c_custkey = o_custkey and (only_start is null or only_start = o_orderdate)),
+  o_orderdate) as end_date
+from orders
+""")
+def override_overlapping(spark, folder):
+    """Several rules fit one order: the first one counts, and no row is doubled."""
+    customers = table(spark, folder, "customer")
+    rule = lambda where, rank, only, fixed: customers.where(where).selectExpr(
+        "c_custkey as o_custkey", f"{rank} as rank", f"cast({only} as timestamp_ntz) as start_date",
+        f"cast('{fixed}' as timestamp_ntz) as fixed_end",
+    )
+    rules = rule(
+        "c_custkey % 3 = 0", 1, "cast('1996-01-01' as timestamp_ntz) + (c_custkey % 365) * interval 1 day", "2003-01-01"
+    ).unionAll(rule("c_custkey % 2 = 0", 2, "null", "2001-01-01")).unionAll(
+        rule("c_custkey % 5 = 0", 3, "null", "2002-01-01")
+    )
+    orders = table(spark, folder, "orders").selectExpr(
+        "o_orderkey", "o_custkey", "o_orderdate as start_date", "o_orderdate as end_date"
+    )
+    return clean.override(orders, rules, ["o_custkey"], "end_date", "fixed_end", only_when="start_date", rank="rank")
+
+
 @register(sql_with("x_anchor") + """
 select event_id, e.user_id, ts, anchor_ts, ts < anchor_ts as pre_code from events e join x_anchor a
 on a.user_id = e.user_id
@@ -340,6 +369,24 @@ def window_interval(spark, folder):
     return found.select("event_id", "user_id", "ts", "value", "index_parent")
 
 
+@register(sql_with("x_anchor") + """
+select event_id, e.user_id, ts, value, anchor_ts from events e join x_anchor a on a.user_id = e.user_id
+and ts >= anchor_ts and ts <= anchor_ts
+    + case when a.user_id % 10 = 0 then interval 200 year when a.user_id % 10 = 1 then interval 3 day else interval 40 minute end
+""")
+def window_open_interval(spark, folder):
+    """A tenth of the stops lies 200 years off, as a mistyped date does."""
+    anchors = x_anchor(spark, folder).withColumn("stop_ts", F.expr(
+        "case when user_id % 10 = 0 then anchor_ts + interval 200 year "
+        "when user_id % 10 = 1 then anchor_ts + interval 3 day else anchor_ts + interval 40 minute end"
+    ))
+    measures = table(spark, folder, "events").select("event_id", "user_id", "ts", "value")
+    return windows.in_interval_window(
+        measures, anchors.select("user_id", "anchor_ts", "stop_ts"), ["user_id"], "ts", "anchor_ts", "stop_ts",
+        width=HOURS(1),
+    ).select("event_id", "user_id", "ts", "value", "anchor_ts")
+
+
 @register(sql_with("x_anchor") + """
 select event_id, e.user_id, event_type, ts, value from events e join x_anchor a on a.user_id = e.user_id
 where ts >= anchor_ts - interval 24 hour and ts <= anchor_ts + interval 24 hour
@@ -663,15 +710,14 @@ def local_time(spark, folder):
 
 
 @register("""
-select l_orderkey, l_linenumber, e.event_id, date_trunc('day', l_shipdate) + (date_trunc('second', e.ts)
-       - date_trunc('day', e.ts)) as composed, year(e.ts) as y, month(e.ts) as m, day(e.ts) as d, hour(e.ts) as h,
+select l_orderkey, l_linenumber, e.event_id, date_trunc('day', l_shipdate) + (e.ts - date_trunc('day', e.ts)) as composed, year(e.ts) as y, month(e.ts) as m, day(e.ts) as d, hour(e.ts) as h,
        minute(e.ts) as mi, second(e.ts) as s
-from lineitem join events e on e.event_id = l_orderkey
+from lineitem left join events e on e.event_id = l_orderkey
 """)
 def compose_timestamp(spark, folder):
     lines = table(spark, folder, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_shipdate")
     events = table(spark, folder, "events").selectExpr("event_id", "ts")
-    joined = lines.join(events, F.col("event_id") == F.col("l_orderkey"))
+    joined = lines.join(events, F.col("event_id") == F.col("l_orderkey"), "left")
     parts = {"y": F.year, "m": F.month, "d": F.dayofmonth, "h": F.hour, "mi": F.minute, "s": F.second}
     return joined.select(
         "l_orderkey", "l_linenumber", "event_id", times.compose("l_shipdate", "ts").alias("composed"),

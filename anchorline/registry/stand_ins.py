@@ -238,7 +238,7 @@ _SQL = {
     "demo": "select c_custkey as encntr_id, a.admit_ts, a.disch_ts as discharge_ts, "
             "case when c_nationkey = 3 then 'SE Southeast' when c_nationkey = 4 then null else 'Main' end as facility "
             "from customer left join x_admit a on a.user_id = c_custkey",
-    "anchored": "select i.encntr_id, l.fin, i.person_id, date_trunc('second', l.time) as code_ts "
+    "anchored": "select i.encntr_id, l.fin, i.person_id, l.time as code_ts "
                 "from listed l left join ids i on i.fin = l.fin",
     "anchors": "select * from anchored qualify row_number() over (partition by encntr_id order by code_ts, fin) = 1",
     "include": "select a.* from anchors a where exists (select 1 from demo d where d.encntr_id = a.encntr_id "

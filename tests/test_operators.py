@@ -333,14 +333,18 @@ def test_readmission_rules(spark):
         assert rows(got, "p", "v", "index_id", "readmit_days") == [(1, 11, 10, 30.0), (5, 52, 51, 5.0)]
 
 
-def test_readmission_clock_may_run_late_within_the_slack(spark):
+def test_readmission_clock_may_run_late(spark):
     late = [(1, 10, at(1), at(1, 12), "Home"), (1, 11, at(31, 6), None, "Home"), (1, 12, at(32), None, "Home")]
     df = spark.createDataFrame(late, "p long, v long, admit timestamp_ntz, idx timestamp_ntz, disp string")
     args = ("p", "v", "admit", "idx", "disp", "none")
     for width in (None, dt.timedelta(days=2)):
         assert rows(readmit.readmissions(df, *args, width=width), "v", "readmit_days") == [(11, 29.75)]
-    with pytest.raises(Exception, match="larger slack"):
-        readmit.readmissions(df, *args, slack=H(1)).collect()
+    much = [(1, 10, at(1), at(41), "Home"), (1, 11, at(20), None, "Home"), (1, 12, at(45), None, "Home"),
+            (1, 13, at(80), None, "Home"), (2, 20, at(1), at(1), "Home"), (2, 21, at(3), at(300), "Home"),
+            (2, 22, at(9), None, "Home"), (2, 23, at(310), None, "Home")]
+    df = spark.createDataFrame(much, "p long, v long, admit timestamp_ntz, idx timestamp_ntz, disp string")
+    for width in (None, dt.timedelta(days=2)):
+        assert rows(readmit.readmissions(df, *args, width=width), "v", "readmit_days") == [(12, 4.0), (23, 10.0)]
 
 
 def test_readmissions_equal_the_loop(spark):
