@@ -3,7 +3,7 @@
 The lines of a text are hashed, blank ones aside. Every window of consecutive lines that together have at least
 `words` words selects its smallest hash as a fingerprint, so any run of lines with so many words shares a fingerprint with
 each of its copies. Places with an equal fingerprint are joined to the first of them: the smallest id, then text, then
-line. Each match is extended line by line both ways, up to the neighbouring fingerprints, which extend in turn. A
+line. Each match is extended line by line both ways, as far as the next window, which extends in turn. A
 run of matched lines with at least `words` words that occurs later than its first copy is deleted.
 
 A run is missed only where each of its fingerprints is a line with fewer words that, next to the same line, occurs
@@ -17,6 +17,7 @@ result; null ids come last. Lines of fewer words stay unless their run is long e
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections import deque
 from itertools import accumulate
 
@@ -59,12 +60,14 @@ def fingerprints(hashes: list[int], words: list[int], least: int) -> list[int]:
 
 def text_fingerprints(text: str, least: int) -> list[tuple[int, int, list[int], list[int]]]:
     """(place, key, lines before it, lines after it, nearest first) of each fingerprint. A line with enough words
-    is its own key; a shorter one has a key with either neighbour, since its window reaches one of them. The lines
-    go up to the next fingerprint on that side and include it."""
+    is its own key; a shorter one has a key with either neighbour, since its window reaches one of them. The lines on
+    either side go on until they have enough words for a window, which holds a fingerprint of its own."""
     _, hashes, words = line_hashes(text)
-    chosen, out = fingerprints(hashes, words, least), []
-    for before, at, after in zip([-1, *chosen], chosen, [*chosen[1:], len(hashes)], strict=False):
-        left, right = hashes[max(before, 0):at][::-1], hashes[at + 1:after + 1]
+    total, out = [0, *accumulate(words)], []
+    for at in fingerprints(hashes, words, least):
+        start = max(bisect_right(total, total[at] - least) - 1, 0)
+        end = bisect_left(total, total[at + 1] + least)
+        left, right = hashes[start:at][::-1], hashes[at + 1:end]
         keys = [hashes[at]] if words[at] >= least else [
             *(hash((0, hashes[at], x)) for x in left[:1]), *(hash((1, hashes[at], x)) for x in right[:1])
         ]
