@@ -1,13 +1,15 @@
 """Extraction queries on the clinical warehouse: account numbers in, one table out.
 
-The cohort and its index groups are written once per query. Both are small next to the event table, and
-as tables their size is known when the rest is planned: Spark then broadcasts them if they are small enough
-and scans the event table without a shuffle, else it joins by sort and merge.
+All queries of one id list share a `Study`. It writes the cohort and its index groups once, when the first query asks
+for them; that takes a scan of the event table, and runs while the query is built. Both are small next to the
+event table, and as tables their size is known when the rest is planned: Spark then broadcasts them if they are small
+enough and scans the event table without a shuffle, else it joins by sort and merge.
 """
 
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,43 +36,55 @@ def _charted(tables: Tables, event_class: int, codes, *columns: str, extra: Colu
     return tables.clinical_event.where(keep).select(*_SUBJECT, "event_cd", "event_end_dt_tm", *columns)
 
 
-def _cohort(ids: DataFrame, tables: Tables, *extra: str) -> DataFrame:
-    return stable(resolve_cohort(ids, tables.encntr_alias, tables.encounter, extra=extra))
+class Study:
+    """One id list on one warehouse, for all queries on it."""
 
+    def __init__(self, ids: DataFrame, tables: Tables):
+        self.ids, self.tables = ids, tables
 
-def _groups(cohort: DataFrame, tables: Tables) -> DataFrame:
-    """Start and stop per (encounter, parent); the event table is scanned once for it."""
-    events = index_events(cohort, tables.clinical_event, tables.ce_date_result)
-    return stable(
-        index_interval(
-            events, ["encntr_id", "parent_event_id"], "event_cd", "result_dt_tm", C.INDEX_START, C.INDEX_STOP
-        )
-    )
+    @cached_property
+    def cohort(self) -> DataFrame:
+        """Encounters of the listed accounts, with admission, discharge and reason."""
+        facts = ["reg_dt_tm", "disch_dt_tm", "reason_for_visit"]
+        return stable(resolve_cohort(self.ids, self.tables.encntr_alias, self.tables.encounter, extra=facts))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return self.cohort.select(*_SUBJECT, "alias").distinct()
 
+    @cached_property
+    def groups(self) -> DataFrame:
+        """Start and stop per (encounter, parent); the event table is scanned once for it."""
+        events = index_events(self.members, self.tables.clinical_event, self.tables.ce_date_result)
+        return stable(
+            index_interval(
+                events, ["encntr_id", "parent_event_id"], "event_cd", "result_dt_tm", C.INDEX_START, C.INDEX_STOP
+            )
+        )
 
-def index_intervals(ids: DataFrame, tables: Tables) -> DataFrame:
-    """Per cohort member and index group its interval, in warehouse (UTC) time; outer."""
-    cohort = _cohort(ids, tables)
-    return index_interval_outer(cohort, _groups(cohort, tables), "encntr_id", "parent_event_id")
+    @cached_property
+    def intervals(self) -> DataFrame:
+        """Per cohort member and index group its interval, in warehouse (UTC) time; outer."""
+        return index_interval_outer(self.members, self.groups, "encntr_id", "parent_event_id")
 
 
-def code_dates(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFrame:
+def code_dates(study: Study, zone: str = SITE_ZONE) -> DataFrame:
     """Index interval per subject in site time; subjects without an index event keep one row."""
-    return index_intervals(ids, tables).select(
+    return study.intervals.select(
         F.col("alias").alias("fin"), F.col("parent_event_id").alias("code_event_id"),
         to_local("start_ts", zone).alias("code_start_datetime"),
         to_local("stop_ts", zone).alias("code_stop_datetime"),
     ).distinct()
 
 
-def _status_before(cohort: DataFrame, tables: Tables) -> DataFrame:
+def _status_before(study: Study) -> DataFrame:
     """Last resuscitation status ordered and updated before the first index event. Subjects without
     such an order are not listed."""
-    first = first_index(_groups(cohort, tables), "encntr_id")
-    placed = tables.orders.where(in_concepts("catalog_cd", C.RESUSCITATION_ORDERS)).select(
+    first = first_index(study.groups, "encntr_id")
+    placed = study.tables.orders.where(in_concepts("catalog_cd", C.RESUSCITATION_ORDERS)).select(
         "encntr_id", "order_id", "current_start_dt_tm"
     )
-    details = tables.order_detail.where(F.col("oe_field_meaning_id") == F.lit(C.RESUSCITATION_DETAIL)).select(
+    details = study.tables.order_detail.where(F.col("oe_field_meaning_id") == F.lit(C.RESUSCITATION_DETAIL)).select(
         "order_id", "oe_field_display_value", "updt_dt_tm"
     )
     before = before_bound(placed, first, ["encntr_id"], "current_start_dt_tm", "first_start_ts")
@@ -80,17 +94,17 @@ def _status_before(cohort: DataFrame, tables: Tables) -> DataFrame:
     )
 
 
-def code_status(ids: DataFrame, tables: Tables) -> DataFrame:
+def code_status(study: Study) -> DataFrame:
     """Last resuscitation status before the first index event."""
-    return _status_before(_cohort(ids, tables), tables)
+    return _status_before(study)
 
 
-def cpr_events(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFrame:
+def cpr_events(study: Study, zone: str = SITE_ZONE) -> DataFrame:
     """Everything charted under an index event that is a date or a charted medication. The events are
     not reduced to their current version; the date result is, inside the outer join."""
-    cohort = _cohort(ids, tables)
-    groups = _groups(cohort, tables).where(F.col("parent_event_id").isNotNull())
-    index = cohort.join(groups, "encntr_id").select("alias", "parent_event_id").distinct()
+    tables = study.tables
+    groups = study.groups.where(F.col("parent_event_id").isNotNull())
+    index = study.members.join(groups, "encntr_id").select("alias", "parent_event_id").distinct()
     events = tables.clinical_event.select("parent_event_id", "event_id", "event_cd", "event_class_cd", "result_val")
     names = tables.code_value.select(F.col("code_value").alias("event_cd"), F.col("display").alias("event"))
     dates = tables.ce_date_result.where(current_version()).select("event_id", "result_dt_tm")
@@ -104,46 +118,46 @@ def cpr_events(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFra
     ).distinct()
 
 
-def _around_index(ids: DataFrame, tables: Tables, measures: DataFrame, before: timedelta, after: timedelta,
+def _around_index(study: Study, measures: DataFrame, before: timedelta, after: timedelta,
                   width: timedelta = timedelta(days=1)) -> DataFrame:
     """Measures of the cohort from start - before to stop + after; incomplete intervals have no window."""
-    anchors = stable(
-        index_intervals(ids, tables).where("start_ts is not null and stop_ts is not null")
-        .select("alias", *_SUBJECT, "start_ts", "stop_ts").distinct()
-    )
+    anchors = study.intervals.where("start_ts is not null and stop_ts is not null").select(
+        "alias", *_SUBJECT, "start_ts", "stop_ts"
+    ).distinct()
     return in_interval_window(
         measures, anchors, _SUBJECT, "event_end_dt_tm", "start_ts", "stop_ts", before, after, width
     )
 
 
-def _measured(ids: DataFrame, tables: Tables, codes, before: timedelta, after: timedelta, prefix: str,
+def _measured(study: Study, codes, before: timedelta, after: timedelta, prefix: str,
               zone: str) -> DataFrame:
-    measures = _charted(tables, C.CLASS_NUMERIC, codes, "result_val", "result_units_cd")
-    near = _around_index(ids, tables, measures, before, after)
-    named = with_display(near, tables.code_value, {"event_cd": prefix, "result_units_cd": "result_units"})
+    measures = _charted(study.tables, C.CLASS_NUMERIC, codes, "result_val", "result_units_cd")
+    near = _around_index(study, measures, before, after)
+    named = with_display(near, study.tables.code_value, {"event_cd": prefix, "result_units_cd": "result_units"})
     return named.select(
         F.col("alias").alias("fin"), to_local("event_end_dt_tm", zone).alias(f"{prefix}_datetime"), prefix,
         F.col("result_val").alias(f"{prefix}_result"), "result_units",
     ).distinct()
 
 
-def electrolytes_24h(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFrame:
+def electrolytes_24h(study: Study, zone: str = SITE_ZONE) -> DataFrame:
     """Electrolytes from one day before the start to one day after the stop."""
     day = timedelta(days=1)
-    return _measured(ids, tables, C.ELECTROLYTES, day, day, "lab", zone)
+    return _measured(study, C.ELECTROLYTES, day, day, "lab", zone)
 
 
-def peri_event_vitals(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFrame:
+def peri_event_vitals(study: Study, zone: str = SITE_ZONE) -> DataFrame:
     """Vitals, blood counts and temperatures from 6 hours before the start to 12 hours after the stop."""
     codes = [*C.VITALS, *C.TEMPERATURES]
-    return _measured(ids, tables, codes, timedelta(hours=6), timedelta(hours=12), "vital", zone)
+    return _measured(study, codes, timedelta(hours=6), timedelta(hours=12), "vital", zone)
 
 
-def event_meds(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFrame:
+def event_meds(study: Study, zone: str = SITE_ZONE) -> DataFrame:
     """Resuscitation medication given between start and stop."""
+    tables = study.tables
     given = _charted(tables, C.CLASS_MED, C.RESUSCITATION_MEDS, "event_id")
     none = timedelta(0)
-    near = _around_index(ids, tables, given, none, none, width=timedelta(hours=1))
+    near = _around_index(study, given, none, none, width=timedelta(hours=1))
     near = near.join(tables.ce_med_result, "event_id")
     named = with_display(
         near, tables.code_value,
@@ -157,9 +171,9 @@ def event_meds(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFra
     ).distinct()
 
 
-def demographics(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFrame:
+def demographics(study: Study, zone: str = SITE_ZONE) -> DataFrame:
     """One row per account: length of stay, age, race, sex, first weight in kg, last resuscitation status."""
-    cohort = _cohort(ids, tables, "reg_dt_tm", "disch_dt_tm", "reason_for_visit")
+    cohort, tables = study.cohort, study.tables
     weights = before_bound(
         _charted(tables, C.CLASS_NUMERIC, [C.WEIGHT], "result_val",
                  extra=F.col("result_units_cd") == F.lit(C.KILOGRAM)),
@@ -168,7 +182,7 @@ def demographics(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataF
     first_weight = keep_first(weights, ["encntr_id"], "event_end_dt_tm", {"weight": "result_val"})
     facts = attach(
         attach(cohort.join(tables.person, "person_id"), first_weight, "encntr_id"),
-        _status_before(cohort, tables), "encntr_id",
+        _status_before(study), "encntr_id",
     )
     return with_display(facts, tables.code_value, {"race_cd": "race", "sex_cd": "sex"}).select(
         F.col("alias").alias("fin"), elapsed("disch_dt_tm", "reg_dt_tm", "days").alias("los"),
@@ -177,10 +191,10 @@ def demographics(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataF
     ).distinct()
 
 
-def baseline_values(ids: DataFrame, tables: Tables, zone: str = SITE_ZONE) -> DataFrame:
+def baseline_values(study: Study, zone: str = SITE_ZONE) -> DataFrame:
     """First values before discharge: per category and unit for temperature, arterial pressure and heart
     rate, per concept and unit for the severity labs. One scan serves all four sets."""
-    cohort = _cohort(ids, tables, "disch_dt_tm")
+    cohort, tables = study.cohort, study.tables
     categories = {"temperature": C.TEMPERATURES, "pressure": C.ARTERIAL_PRESSURES, "heart": C.HEART_RATES}
     every = sorted({code for codes in (*categories.values(), C.SEVERITY) for code in codes})
     known = before_bound(

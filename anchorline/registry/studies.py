@@ -24,12 +24,16 @@ def _codes(values) -> str:
 
 # ---- extraction -------------------------------------------------------------------------------
 
+def _study(spark, folder):
+    return extraction.Study(S.account_list(spark, folder), S.warehouse(spark, folder))
+
+
 @register(sql_with("intervals") + f"""
 select distinct alias as fin, parent_event_id as code_event_id, {_LOCAL('start_ts')} as code_start_datetime,
        {_LOCAL('stop_ts')} as code_stop_datetime from intervals
 """)
 def code_dates(spark, folder):
-    return extraction.code_dates(S.account_list(spark, folder), S.warehouse(spark, folder))
+    return extraction.code_dates(_study(spark, folder))
 
 
 _STATUS = """
@@ -45,7 +49,7 @@ status as (select encntr_id, max(v) as code_status from status_rows where r = 1
 
 @register(sql_with("code_start", "resus_orders", "order_detail") + _STATUS + "select * from status")
 def code_status(spark, folder):
-    return extraction.code_status(S.account_list(spark, folder), S.warehouse(spark, folder))
+    return extraction.code_status(_study(spark, folder))
 
 
 @register(sql_with("intervals", "code_value") + f"""
@@ -57,7 +61,7 @@ left join ce_date_result dr on dr.event_id = ce.event_id and dr.valid_until_dt_t
 where starts_with(cv.display, 'CPR Medication') or ce.event_class_cd = 99985
 """)
 def cpr_events(spark, folder):
-    return extraction.cpr_events(S.account_list(spark, folder), S.warehouse(spark, folder))
+    return extraction.cpr_events(_study(spark, folder))
 
 
 def _measured_sql(codes, before: str, after: str, prefix: str) -> str:
@@ -74,12 +78,12 @@ where ce.event_class_cd = 159 and ce.event_cd in ({_codes(codes)})
 
 @register(_measured_sql(C.ELECTROLYTES, "1 day", "1 day", "lab"))
 def electrolytes_24h(spark, folder):
-    return extraction.electrolytes_24h(S.account_list(spark, folder), S.warehouse(spark, folder))
+    return extraction.electrolytes_24h(_study(spark, folder))
 
 
 @register(_measured_sql([*C.VITALS, *C.TEMPERATURES], "6 hour", "12 hour", "vital"))
 def peri_event_vitals(spark, folder):
-    return extraction.peri_event_vitals(S.account_list(spark, folder), S.warehouse(spark, folder))
+    return extraction.peri_event_vitals(_study(spark, folder))
 
 
 @register(sql_with("intervals", "code_value", "ce_med_result") + f"""
@@ -95,7 +99,7 @@ where ce.event_class_cd = 158 and ce.event_cd in ({_codes(C.RESUSCITATION_MEDS)}
   and ce.event_end_dt_tm between i.start_ts and i.stop_ts and ce.valid_until_dt_tm > timestamp '2099-12-31'
 """)
 def event_meds(spark, folder):
-    return extraction.event_meds(S.account_list(spark, folder), S.warehouse(spark, folder))
+    return extraction.event_meds(_study(spark, folder))
 
 
 @register(sql_with("code_start", "resus_orders", "order_detail", "person", "code_value") + _STATUS + f"""
@@ -114,7 +118,7 @@ left join status s on s.encntr_id = p.encntr_id left join weight w on w.encntr_i
 left join code_value rc on rc.code_value = n.race_cd left join code_value sx on sx.code_value = n.sex_cd
 """)
 def demographics(spark, folder):
-    return extraction.demographics(S.account_list(spark, folder), S.warehouse(spark, folder))
+    return extraction.demographics(_study(spark, folder))
 
 
 def _first_set(name: str, codes, by_code: bool) -> str:
@@ -140,7 +144,7 @@ from baseline b join patients p on p.encntr_id = b.encntr_id left join code_valu
 left join code_value u on u.code_value = b.result_units_cd
 """)
 def baseline_values(spark, folder):
-    return extraction.baseline_values(S.account_list(spark, folder), S.warehouse(spark, folder))
+    return extraction.baseline_values(_study(spark, folder))
 
 
 # ---- analysis ---------------------------------------------------------------------------------

@@ -60,7 +60,7 @@ def chart():
 
 
 def ask(spark, query, chart, *accounts):
-    return query(cohort_from_list(spark, accounts), chart.tables(spark), zone="UTC").collect()
+    return query(E.Study(cohort_from_list(spark, accounts), chart.tables(spark)), zone="UTC").collect()
 
 
 def intervals(spark, chart, *accounts):
@@ -109,7 +109,7 @@ def test_parent_shared_by_two_encounters(spark, chart):
 def test_daylight_saving(spark, chart):
     chart.encounter(1)
     chart.index(1, 10, start=dt.datetime(2024, 3, 10, 8, 30), stop=dt.datetime(2024, 3, 10, 7, 30))
-    row = E.code_dates(cohort_from_list(spark, ["F1"]), chart.tables(spark)).first()
+    row = E.code_dates(E.Study(cohort_from_list(spark, ["F1"]), chart.tables(spark))).first()
     assert (row.code_start_datetime, row.code_stop_datetime) == (
         dt.datetime(2024, 3, 10, 3, 30), dt.datetime(2024, 3, 10, 1, 30)
     )
@@ -179,7 +179,7 @@ def test_status_is_the_last_before_the_first_index(spark, chart):
     chart.order(1, 1, at(2), ("Full", at(2)), ("DNR", at(3)), ("A tie", at(3)), ("late", at(5)), ("x", at(4), 1))
     chart.order(1, 2, at(6), ("after", at(4)))
     chart.order(1, 3, at(2), ("other order", at(4)), catalog=1)
-    rows = E.code_status(cohort_from_list(spark, ["F1", "F2"]), chart.tables(spark)).collect()
+    rows = E.code_status(E.Study(cohort_from_list(spark, ["F1", "F2"]), chart.tables(spark))).collect()
     assert [tuple(r) for r in rows] == [(1, "DNR")]
 
 
@@ -222,5 +222,17 @@ def test_tables_are_read_with_declared_schemas(spark, chart, tmp_path):
     tables = chart.tables(spark)
     for name in SCHEMAS:
         getattr(tables, name).write.parquet(f"{tmp_path}/{name}")
-    rows = E.code_dates(cohort_from_list(spark, ["F1"]), load(spark, str(tmp_path)), zone="UTC").collect()
+    rows = E.code_dates(E.Study(cohort_from_list(spark, ["F1"]), load(spark, str(tmp_path))), zone="UTC").collect()
     assert [r.code_start_datetime for r in rows] == [at(5)]
+
+
+def test_all_queries_of_a_study_scan_the_index_once(spark, chart, monkeypatch):
+    chart.encounter(1)
+    chart.index(1, 900, at(5), at(6))
+    scans = []
+    monkeypatch.setattr(E, "index_events", lambda *a, f=E.index_events: scans.append(1) or f(*a))
+    study = E.Study(cohort_from_list(spark, ["F1"]), chart.tables(spark))
+    for query in (E.code_dates, E.code_status, E.cpr_events, E.electrolytes_24h, E.peri_event_vitals, E.event_meds,
+                  E.demographics, E.baseline_values):
+        query(study)
+    assert len(scans) == 1
