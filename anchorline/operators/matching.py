@@ -32,20 +32,24 @@ from anchorline.session import scratch_path, small_table, stable
 cloudpickle.register_pickle_by_value(greedy)  # executors need not have the package installed
 
 
-def require_units(df: DataFrame, id_col: str, required: Sequence[str]) -> DataFrame:
-    """Fail unless ids are unique and no required value is missing."""
+def unit_problems(df: DataFrame, id_col: str, required: Sequence[str]) -> DataFrame:
+    """Units that are listed more than once or lack a required value: (id, n, missing)."""
     kinds = dict(df.dtypes)
     missing = F.lit(False)
     for c in [id_col, *required]:
         missing = missing | F.col(c).isNull()
         if kinds[c] in ("double", "float"):
             missing = missing | F.isnan(c)
-    found = df.groupBy(id_col).agg(F.count("*").alias("n"), F.max(missing).alias("missing")).agg(
-        F.max("n").alias("n"), F.max("missing").alias("missing")
-    ).first()
+    units = df.groupBy(id_col).agg(F.count("*").alias("n"), F.max(missing).alias("missing"))
+    return units.where("n > 1 or missing")
+
+
+def require_units(df: DataFrame, id_col: str, required: Sequence[str]) -> DataFrame:
+    """Fail unless ids are unique and no required value is missing."""
+    found = unit_problems(df, id_col, required).agg(F.max("missing").alias("missing"), F.max("n").alias("n")).first()
     if found["missing"]:
         raise ValueError(f"missing values in {[id_col, *required]}")
-    if found["n"] is not None and found["n"] > 1:
+    if found["n"] is not None:
         raise ValueError(f"{id_col} is not unique")
     return df
 

@@ -2,7 +2,7 @@
 
 
 def _loaded():
-    from anchorline.registry import operators, studies  # noqa: F401  (registers on import)
+    from anchorline.registry import files, operators, studies  # noqa: F401  (registers on import)
 
     return operators
 

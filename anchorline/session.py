@@ -25,15 +25,12 @@ def build_session(app: str = "anchorline", master: str | None = None, **conf: st
 
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings. Warehouse times carry no zone, so the session is pinned to UTC; AQE may
-    split a skewed join even if an aggregate above it then needs one more shuffle. On a cluster shuffles
-    start from many partitions, which AQE joins again where they turn out small."""
+    split a skewed join even if an aggregate above it then needs one more shuffle. The number of shuffle partitions
+    is left to the session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-    slots, first = spark.sparkContext.defaultParallelism, "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    if slots > 64 and spark.conf.get(first, None) is None:
-        spark.conf.set(first, str(8 * slots))
     return spark
 
 
