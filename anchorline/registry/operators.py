@@ -806,8 +806,9 @@ scored as materialized (select c_custkey, treated, x1, x2, 1 / (1 + exp(-(b0 + b
 """
 
 
-def _pairs_sql(scored: str) -> str:
-    """One turn per treated unit; `scored` has c_custkey, treated and score."""
+def _pairs_sql(scored: str, nobody: str = "-1::bigint") -> str:
+    """One turn per treated unit; `scored` has c_custkey, treated and score. Controls that are taken are a keyed table
+    that grows by one row a turn; `nobody` is an id of the right type that no unit has."""
     return f"""
 , kept as materialized (select c_custkey as id, treated, score as s from {scored} where case when treated
   then score between (select min(score) from {scored} where not treated)
@@ -815,14 +816,16 @@ def _pairs_sql(scored: str) -> str:
   else score between (select min(score) from {scored} where treated)
                  and (select max(score) from {scored} where treated) end),
 queue as materialized (select id, s, row_number() over (order by s desc, id) as turn from kept where treated),
-pick(turn, treated_id, control_id, distance, taken) as (
-  select 0::bigint, null::bigint, null::bigint, null::double, []::bigint[]
-  union all
-  select turn, tid, cid, d, list_append(taken, cid) from (
-    select q.turn, q.id as tid, c.id as cid, abs(c.s - q.s) as d, p.taken,
-           row_number() over (order by abs(c.s - q.s), c.s desc, c.id) as r
+controls as materialized (select id, s from kept where not treated),
+pick(control_id, turn, treated_id, distance) using key (control_id) as (
+  select {nobody}, 0::bigint, {nobody}, null::double
+  union
+  select best.id, turn, tid, best.d from (
+    select q.turn, q.id as tid,
+           arg_min({{'id': c.id, 'd': abs(c.s - q.s)}}, {{'d': abs(c.s - q.s), 's': -c.s, 'id': c.id}}) as best
     from pick p join queue q on q.turn = p.turn + 1
-    join kept c on not c.treated and not list_contains(p.taken, c.id)) where r = 1),
+    join controls c on not exists (select 1 from recurring.pick t where t.control_id = c.id)
+    group by q.turn, q.id)),
 pairs as (select treated_id, control_id, distance from pick where turn > 0)
 """
 

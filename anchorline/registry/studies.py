@@ -10,7 +10,7 @@ from anchorline.functions import concepts as C
 from anchorline.operators import matching
 from anchorline.plans import analysis, extraction, matched
 from anchorline.registry import stand_ins as S
-from anchorline.registry.operators import BY_SCORE, register
+from anchorline.registry.operators import _FIT, BY_SCORE, _pairs_sql, recursive, register
 from anchorline.registry.stand_ins import spark_table as table
 from anchorline.registry.stand_ins import sql_with
 from anchorline.session import stable
@@ -411,33 +411,61 @@ def _features(spark, folder):
     return matched.matching_features(table(spark, folder, "sheet"), rules)
 
 
-@register(sql_with("sheet") + """
+_FIXED = """
 , fixed as (select s.*, case when c.c_custkey is not null then timestamp '2001-01-01 00:00:00' else code_end_date end
-  as end_date from sheet s left join customer c on c.c_custkey = s.id and c.c_nationkey = 7)
-select fin, ca_given = 1 as ca_given, cci,
+  as end_date from sheet s left join customer c on c.c_custkey = s.id and c.c_nationkey = 7),
+features as (select fin, ca_given = 1 as ca_given, cci,
        (epoch_us(end_date + (code_end_time - date_trunc('day', code_end_time)))
         - epoch_us(code_start_date + (code_start_time - date_trunc('day', code_start_time))))::double / 60e6
-       as code_duration from fixed
-""")
+       as code_duration from fixed)
+"""
+# The fit and the match know the columns by the names of the smaller study
+_MATCHED = recursive(sql_with("sheet")) + _FIXED + """
+, x_cov as (select fin as c_custkey, ca_given as treated, cci as c_acctbal, code_duration as n_orders from features)
+""" + _FIT + _pairs_sql("scored", "''::varchar")
+
+
+@register(sql_with("sheet") + _FIXED + "select fin, ca_given, cci, code_duration from features")
 def matching_features(spark, folder):
     return _features(spark, folder)
 
 
-@register()
+@register(_MATCHED + """
+select c_custkey as fin, treated as ca_given, x1 as cci, x2 as code_duration, round(score, 6) as distance,
+       1.0::double as weights
+from scored where c_custkey in (select treated_id from pairs union all select control_id from pairs)
+""")
 def matched_cohort(spark, folder):
     return matched.matched_cohort(_features(spark, folder))["matched"].withColumn("distance", F.round("distance", 6))
 
 
-@register()
+@register(_MATCHED + """
+select t.c_custkey as treated_id, p.control_id from x_cov t left join pairs p on p.treated_id = t.c_custkey
+where t.treated
+""")
 def match_pairs(spark, folder):
     return matched.matched_cohort(_features(spark, folder))["pairs"]
 
 
-@register()
+@register(_MATCHED + """
+, used as (select treated_id as id from pairs union all select control_id from pairs),
+tall as (select c_custkey, treated, 'cci' as variable, x1 as x from scored
+  union all select c_custkey, treated, 'code_duration', x2 from scored
+  union all select c_custkey, treated, 'distance', score from scored),
+spread as (select variable, stddev_samp(x) as sd from tall where treated group by 1),
+sets as (select 'all' as sample, * from tall
+  union all select 'matched', * from tall where c_custkey in (select id from used)),
+means as (select sample, variable, avg(x) filter (treated) as t, avg(x) filter (not treated) as c,
+  stddev_samp(x) filter (not treated) as sd_c from sets group by 1, 2)
+select sample, variable, round(t, 6) as mean_treated, round(c, 6) as mean_control, round(sd_c, 6) as sd_control,
+       round(t - c, 6) + 0::double as mean_diff, round((t - c) / sd, 6) + 0::double as std_mean_diff
+from means join spread using (variable)
+""")
 def match_balance(spark, folder):
     numbers = ["mean_treated", "mean_control", "sd_control", "mean_diff", "std_mean_diff"]
     balance = matched.matched_cohort(_features(spark, folder))["balance"]
-    return balance.select("sample", "variable", *(F.round(c, 6).alias(c) for c in numbers))
+    rounded = (F.round(c, 6) + F.lit(0.0) for c in numbers)  # no negative zero
+    return balance.select("sample", "variable", *(x.alias(c) for c, x in zip(numbers, rounded, strict=True)))
 
 
 @register(sql_with("x_cov") + """
