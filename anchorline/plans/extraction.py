@@ -1,7 +1,7 @@
 """Extraction queries on the clinical warehouse: account numbers in, one table out.
 
-All queries of one id list share a `Study`. It writes the cohort and its index groups once, when the first query asks
-for them; that takes a scan of the event table, and runs while the query is built. Both are small next to the
+All queries of one id list share a `Study`. It writes the cohort, its index groups and the complete intervals once, when the first query
+asks for them; that takes a scan of the event table, and runs while the query is built. These tables are small next to the
 event table, and as tables their size is known when the rest is planned: Spark then broadcasts them if they are small
 enough and scans the event table without a shuffle, else it joins by sort and merge.
 """
@@ -67,6 +67,14 @@ class Study:
         """Per cohort member and index group its interval, in warehouse (UTC) time; outer."""
         return index_interval_outer(self.members, self.groups, "encntr_id", "parent_event_id")
 
+    @cached_property
+    def complete(self) -> DataFrame:
+        """The intervals with both ends: the anchors of the time windows, read twice by each window join."""
+        return stable(
+            self.intervals.where("start_ts is not null and stop_ts is not null")
+            .select("alias", *_SUBJECT, "start_ts", "stop_ts").distinct()
+        )
+
 
 def code_dates(study: Study, zone: str = SITE_ZONE) -> DataFrame:
     """Index interval per subject in site time; subjects without an index event keep one row."""
@@ -121,11 +129,8 @@ def cpr_events(study: Study, zone: str = SITE_ZONE) -> DataFrame:
 def _around_index(study: Study, measures: DataFrame, before: timedelta, after: timedelta,
                   width: timedelta = timedelta(days=1)) -> DataFrame:
     """Measures of the cohort from start - before to stop + after; incomplete intervals have no window."""
-    anchors = study.intervals.where("start_ts is not null and stop_ts is not null").select(
-        "alias", *_SUBJECT, "start_ts", "stop_ts"
-    ).distinct()
     return in_interval_window(
-        measures, anchors, _SUBJECT, "event_end_dt_tm", "start_ts", "stop_ts", before, after, width
+        measures, study.complete, _SUBJECT, "event_end_dt_tm", "start_ts", "stop_ts", before, after, width
     )
 
 

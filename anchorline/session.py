@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,9 +55,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("paths of the open scratch block", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one written table in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _MADE.get() is not None:
+        _MADE.get().append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within this block queries are built and their results written; at its end the tables that they have written
+    to the shared folder on the way are deleted. Results that are not written yet cannot be read afterwards."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        made = _MADE.get()
+        _MADE.reset(token)
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for path in made:
+            place = hadoop.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stable(df: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 import datetime as dt
 import glob
 import gzip
+import os
 
 import pytest
 
+from anchorline import session
 from anchorline.operators.cohort import cohort_from_list
 from anchorline.sources import extracts, sinks
 
@@ -70,3 +72,14 @@ def test_sinks_round_trip(spark, tmp_path):
 
 def test_cohort_list(spark):
     assert sorted(r.alias for r in cohort_from_list(spark, ["007", "007", "8"]).collect()) == ["007", "8"]
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    folder = session.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with session.scratch(spark):
+        kept = session.stable(spark.range(5))
+        assert kept.count() == 5 and len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before
+    session.stable(spark.range(5))
+    assert len(set(os.listdir(folder)) - before) == 1
