@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,27 +17,37 @@ def with_display(df: DataFrame, code_value: DataFrame, columns: Mapping[str, str
     return df
 
 
-def left_with_condition(left: DataFrame, right: DataFrame, on: Sequence[str], right_filter) -> DataFrame:
+def left_with_condition(left: DataFrame, right: DataFrame, on: Sequence[str], right_filter,
+                        hot_right: bool = False) -> DataFrame:
     """Left-outer join whose extra condition belongs to ON: rows stay, their right side is NULL.
 
-    Written as the inner join plus the rows without a partner: Spark can split a key with very many right
-    rows in an inner join, but not in an outer one."""
+    `hot_right` is for a right side with very frequent keys. Spark can split those in an inner join, but not in an
+    outer one; so it becomes the inner join plus the rows without a partner, at the price of reading both sides twice."""
     wanted = right.where(right_filter)
+    if not hot_right:
+        return left.join(wanted, [*on], "left")
     alone = left.join(wanted.select(*on).distinct(), [*on], "left_anti")
     return left.join(wanted, [*on]).unionByName(alone, allowMissingColumns=True)
 
 
-def outer_before(left: DataFrame, right: DataFrame, on: Sequence[str], ts: str, anchor: str) -> DataFrame:
+def outer_before(left: DataFrame, right: DataFrame, on: Sequence[str], ts: str, anchor: str,
+                 hot_right: bool = False) -> DataFrame:
     """Left-outer join on equal keys and `ts` < `anchor`; subjects without an earlier row stay.
 
-    Split as in `left_with_condition`. Some row is earlier than the anchor if the key's first row is, so the
-    rows without a partner are found with one right row per key."""
-    first = right.groupBy(*on).agg(F.min(ts).alias("__first"))
-    renamed = first.withColumnsRenamed({c: f"__key_{c}" for c in on})
-    test = F.col("__first") < F.col(anchor)
-    for c in on:
-        test = test & (F.col(c) == F.col(f"__key_{c}"))
-    alone = left.join(renamed, test, "left_anti")
+    `hot_right` as in `left_with_condition`. Some row is earlier than the anchor if the key's first row is, so the
+    rows without a partner are then found with one right row per key."""
+    def keyed(df: DataFrame, time: str) -> tuple[DataFrame, Column]:
+        renamed = df.withColumnsRenamed({c: f"__key_{c}" for c in on})
+        test = F.col(time) < F.col(anchor)
+        for c in on:
+            test = test & (F.col(c) == F.col(f"__key_{c}"))
+        return renamed, test
+
+    if not hot_right:
+        renamed, test = keyed(right, ts)
+        return left.join(renamed, test, "left").drop(*(f"__key_{c}" for c in on))
+    first, test = keyed(right.groupBy(*on).agg(F.min(ts).alias("__first")), "__first")
+    alone = left.join(first, test, "left_anti")
     earlier = left.join(right, [*on]).where(F.col(ts) < F.col(anchor))
     return earlier.unionByName(alone, allowMissingColumns=True)
 

@@ -1,9 +1,10 @@
 """Extraction queries on the clinical warehouse: account numbers in, one table out.
 
-All queries of one id list share a `Study`. It writes the cohort, its index groups and the complete intervals once, when the first query
-asks for them; that takes a scan of the event table, and runs while the query is built. These tables are small next to the
-event table, and as tables their size is known when the rest is planned: Spark then broadcasts them if they are small
-enough and scans the event table without a shuffle, else it joins by sort and merge.
+All queries of one id list share a `Study`. It writes the cohort, its index groups and the complete intervals
+once, when the first query asks for them; that takes a scan of the event table, and runs while the query is built.
+These tables are small next to the event table, and as tables their size is known when the rest is planned: Spark
+then broadcasts them if they are small enough and scans the event table without a shuffle, else it joins by sort
+and merge.
 """
 
 from __future__ import annotations
