@@ -83,18 +83,23 @@ def visited(trees: list[Tree], sizes: np.ndarray, sides: list[np.ndarray], rows:
     return out
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, column) of the k largest scores of each row, the smaller id first among equals, -inf left out."""
+def best(
+    queries: np.ndarray, rows: np.ndarray, same: np.ndarray, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, product) of the k largest products of each query, the smaller id first among equals; pairs that
+    are `same` are left out. Products of the whole block only preselect, as their last digits depend on the block."""
+    scores = queries @ rows.T
+    scores[same] = -np.inf
+    near = scores > -np.inf
     if scores.shape[1] > k:
         edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        row, column = np.nonzero(scores >= edge[:, None])
-    else:
-        row, column = np.nonzero(np.ones(scores.shape, bool))
-    order = np.lexsort((ids[column], -scores[row, column], row))
-    row, column = row[order], column[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = (rank < k) & (scores[row, column] > -np.inf)
-    return row[keep], column[keep]
+        near &= scores >= (edge - 1e-9 * np.maximum(1, np.abs(edge)))[:, None]
+    query, row = np.nonzero(near)
+    product = np.einsum("ij,ij->i", queries[query], rows[row])
+    order = np.lexsort((ids[row], -product, query))
+    query, row, product = query[order], row[order], product[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], row[keep], product[keep]
 
 
 def nearest(
@@ -184,14 +189,13 @@ def nearest(
             ids = part["id"].to_numpy(zero_copy_only=False)
             for start in range(0, asking.sum(), 512):
                 these = np.nonzero(asking)[0][start:start + 512]
-                scores = at[these] @ at[~asking].T
-                scores[no[these][:, None] == no[~asking][None, :]] = -np.inf
-                query, column = best(scores, ids[~asking], k)
+                same = no[these][:, None] == no[~asking][None, :]
+                query, row, product = best(at[these], at[~asking], same, ids[~asking], k)
                 if not len(query):
                     continue
                 asker, starts = np.unique(query, return_index=True)
                 lists = pa.StructArray.from_arrays(
-                    [pa.array(-scores[query, column]), pa.array(ids[~asking][column]), pa.array(no[~asking][column])],
+                    [pa.array(-product), pa.array(ids[~asking][row]), pa.array(no[~asking][row])],
                     ["less", "id", "no"],
                 )
                 yield pa.RecordBatch.from_pydict({
@@ -200,9 +204,10 @@ def nearest(
                 })
 
     found = met.mapInArrow(compared, f"query long, found array<struct<less:double,id:{kind},no:long>>")
-    # A query keeps k rows of each block it has visited, a bounded number; the same row of another tree counts once.
+    # A query keeps k rows of each block it has visited, a bounded number. A row may come from every tree, so the
+    # first k different ones are among the first k * trees.
     merged = found.groupBy("query").agg(F.flatten(F.collect_list("found")).alias("found"))
-    top = F.slice(F.array_sort(F.array_distinct("found")), 1, k)
+    top = F.slice(F.array_distinct(F.slice(F.array_sort("found"), 1, k * trees)), 1, k)
     ranked = merged.select("query", F.posexplode(top).alias("place", "hit"))
     return ranked.join(asks.select(F.col("no").alias("query"), F.col("id").alias("query_id")), "query").select(
         "query_id", (F.col("place") + 1).alias("rank"), F.col("hit.id").alias("id"), (-F.col("hit.less")).alias("score")
