@@ -204,8 +204,8 @@ def _likely(rows: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("key", "low", "high").applyInPandas(compare, "centre long, member long").distinct()
 
 
-def find_links(docs: DataFrame, known: DataFrame, text_col: str, least: float) -> DataFrame:
-    """Links (a, b) between the numbers of similar texts: as many as their classes need."""
+def find_classes(docs: DataFrame, known: DataFrame, text_col: str, least: float) -> DataFrame:
+    """(node, root): the smallest number of the class of each text that is similar to another one."""
     rows = known.where("keys is not null").select("no", F.explode(F.array_distinct("keys")).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = stable(rows.join(sizes, "key"))
@@ -222,13 +222,16 @@ def find_links(docs: DataFrame, known: DataFrame, text_col: str, least: float) -
     texts = stable(texts)
     links = stable(_verify(pairs, texts, least))
     failed = grouped.join(links, ["centre", "member"], "left_anti").select("key", F.col("member").alias("no"))
-    roots = components(links.select(F.col("centre").alias("a"), F.col("member").alias("b")))
+    roots = stable(components(links.select(F.col("centre").alias("a"), F.col("member").alias("b"))))
     rest = (
         failed.join(roots, failed["no"] == roots["node"], "left")
         .select("key", "no", F.coalesce("root", "no").alias("root")).join(known.select("no", "sig"), "no")
     )
-    more = _verify(stable(_likely(rest, least)), texts, least)
-    return stable(links.unionAll(more).select(F.col("centre").alias("a"), F.col("member").alias("b")))
+    more = stable(_verify(stable(_likely(rest, least)), texts, least))
+    if more.isEmpty():
+        return roots
+    links = more.select(F.col("centre").alias("a"), F.col("member").alias("b"))
+    return components(links.unionAll(roots.select("node", "root")))  # the classes so far are stars already
 
 
 def near_duplicates(
@@ -240,7 +243,7 @@ def near_duplicates(
     known = stable(
         _sketched(docs, id_col, text_col, tables, size).withColumn("no", F.monotonically_increasing_id())
     )
-    roots = components(find_links(docs, known, text_col, least))
+    roots = find_classes(docs, known, text_col, least)
     classes = (
         known.join(roots, known["no"] == roots["node"], "left")
         .select("text_key", "first_id", F.when(F.col("keys").isNotNull(), F.coalesce("root", "no")).alias("root"))
