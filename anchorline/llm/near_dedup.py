@@ -7,8 +7,10 @@ candidates. A candidate pair is verified by a banded alignment: the longest comm
 within the band that the similarity allows. The similarity is aligned / (a + b - aligned); 0.8 and more is a link.
 
 Pairs within a group of candidates are not listed. Each group compares its members with one centre, the text whose
-sketches are the most common. Members that fail are screened against each other in blocks, by the agreement of small
-signatures and unless they are linked already; only pairs that agree nearly enough leave a block and are aligned.
+sketches are the most common. Members that are not linked to their centre then are screened in blocks against all other
+members, those that are linked to it included, by the agreement of small signatures and unless the two are linked
+already. Only pairs that agree nearly enough leave a block and are aligned: first the best one of each such member and
+block, then all that are still not linked.
 
 Words are runs of word characters, in lower case. A text of fewer than five words is one run; texts without words
 (null, empty, marks only) link with nothing. Equal texts are one class whatever their ids, and are compared once;
@@ -175,14 +177,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(compare, "centre long, member long")
 
 
-def _likely(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (centre, member) of rows (key, no, sig, root) with equal key and different root whose signatures agree
-    nearly as often as similar texts do. Groups are compared in blocks; only likely pairs leave a block."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int")
+def _likely(rows: DataFrame, least: float, best: bool = False) -> DataFrame:
+    """Pairs (centre, member), the smaller number first, of rows (key, no, sig, root, apart) with equal key and
+    different root whose signatures agree nearly as often as similar texts do; one of them is `apart`. Groups are
+    compared in blocks: those apart with each other and with the rest. Only likely pairs leave a block, with `best` only
+    the one that agrees most for each row that is apart."""
+    sizes = rows.groupBy("key").agg(
+        F.ceil(F.sum(F.col("apart").cast("int")) / BLOCK).cast("int").alias("asks"),
+        F.ceil(F.sum((~F.col("apart")).cast("int")) / BLOCK).cast("int").alias("rest"),
+    )
+    hashed = F.xxhash64("no")
+    own = F.when(F.col("apart"), F.pmod(hashed, F.col("asks"))).otherwise(F.col("asks") + F.pmod(hashed, F.col("rest")))
+    last = F.col("asks") - 1 + F.when(F.col("apart"), F.col("rest")).otherwise(0)
     dealt = (
-        rows.join(blocks, "key").withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows.join(sizes, "key").withColumn("own", own.cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
         .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "no",
                 "sig", "root")
     )
@@ -190,20 +199,38 @@ def _likely(rows: DataFrame, least: float) -> DataFrame:
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         sigs = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), BINS)
         no, root, own = part["no"].to_numpy(), part["root"].to_numpy(), part["own"].to_numpy()
-        within = part["low"].iloc[0] == part["high"].iloc[0]
+        low, high = part["low"].iloc[0], part["high"].iloc[0]
         out = []
-        for i in range(len(part)):
-            others = (no > no[i] if within else own != own[i]) & (root != root[i])
-            either = ((sigs > 0) | (sigs[i] > 0)).sum(axis=1)
-            same = ((sigs == sigs[i]) & (sigs > 0)).sum(axis=1)
-            for j in np.nonzero(others & (same >= (least - MARGIN) * either))[0]:
-                if no[i] < no[j]:
-                    out.append((no[i], no[j]))
+        for i in np.nonzero(own == low)[0]:
+            others = np.nonzero((own == high) & (root != root[i]))[0]
+            either = ((sigs[others] > 0) | (sigs[i] > 0)).sum(axis=1)
+            same = ((sigs[others] == sigs[i]) & (sigs[others] > 0)).sum(axis=1)
+            fits = same >= (least - MARGIN) * either
+            found = others[fits]
+            if best and len(found):
+                found = found[[np.argmax(same[fits] / either[fits])]]
+            out += [(min(no[i], no[j]), max(no[i], no[j])) for j in found]
         return pd.DataFrame(out, columns=["centre", "member"], dtype="int64")
 
     return dealt.groupBy("key", "low", "high").applyInPandas(compare, "centre long, member long").distinct()
 
 
+def _unlinked(grouped: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (key, no, sig, root, apart) of the groups whose members are not all linked yet; those that are not linked
+    to their centre are `apart`. Centres themselves are left out: every member of theirs has been compared with them."""
+    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    rows = (
+        grouped.join(of("member"), "member", "left").join(of("centre"), "centre", "left")
+        .select("key", F.col("member").alias("no"), F.coalesce("member_root", "member").alias("root"),
+                F.coalesce("centre_root", "centre").alias("to"))
+    )
+    split = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return (
+        rows.join(split.select("key"), "key").select("key", "no", "root", (F.col("root") != F.col("to")).alias("apart"))
+        .join(known.select("no", "sig"), "no")
+    )
+
+
 def find_classes(docs: DataFrame, known: DataFrame, text_col: str, least: float) -> DataFrame:
     """(node, root): the smallest number of the class of each text that is similar to another one."""
     rows = known.where("keys is not null").select("no", F.explode(F.array_distinct("keys")).alias("key"))
@@ -221,17 +248,17 @@ def find_classes(docs: DataFrame, known: DataFrame, text_col: str, least: float)
     texts = keyed.join(wanted.select("text_key", "no"), "text_key").groupBy("no").agg(F.first("text").alias("text"))
     texts = stable(texts)
     links = stable(_verify(pairs, texts, least))
-    failed = grouped.join(links, ["centre", "member"], "left_anti").select("key", F.col("member").alias("no"))
     roots = stable(components(links.select(F.col("centre").alias("a"), F.col("member").alias("b"))))
-    rest = (
-        failed.join(roots, failed["no"] == roots["node"], "left")
-        .select("key", "no", F.coalesce("root", "no").alias("root")).join(known.select("no", "sig"), "no")
-    )
-    more = stable(_verify(stable(_likely(rest, least)), texts, least))
-    if more.isEmpty():
-        return roots
-    links = more.select(F.col("centre").alias("a"), F.col("member").alias("b"))
-    return components(links.unionAll(roots.select("node", "root")))  # the classes so far are stars already
+    tried = pairs.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
+    for first in (True, False):  # the most likely pair of each text, then whatever is likely and still not linked
+        likely = _likely(_unlinked(grouped, roots, known), least, first)
+        likely = stable(likely.join(tried.distinct(), ["centre", "member"], "left_anti"))
+        more = stable(_verify(likely, texts, least))
+        if not more.isEmpty():
+            links = more.select(F.col("centre").alias("a"), F.col("member").alias("b"))
+            roots = stable(components(links.unionAll(roots.select("node", "root"))))  # the classes so far are stars
+        tried = tried.unionAll(likely)
+    return roots
 
 
 def near_duplicates(

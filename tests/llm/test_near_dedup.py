@@ -85,6 +85,36 @@ def test_a_group_of_many_near_copies_is_one_class(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_copies_of_copies_join_the_class_of_a_member_that_is_not_its_centre(spark):
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+
+    def edited(text, edits):
+        text = list(text)
+        for at in rnd.sample(range(0, 200, 5), edits):
+            text[at] = f"x{rnd.random()}"
+        return text
+
+    copies = [base] + [edited(base, rnd.randint(1, 3)) for _ in range(300)]
+    copies += [edited(rnd.choice(copies[1:]), 4) for _ in range(60)]
+    docs = [(i, " ".join(text)) for i, text in enumerate(copies)]
+    sets = [set(runs(text)) for _, text in docs]  # words of a text differ and stay in place: shared runs are aligned
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.id: r.class_id for r in got} == {i: find(i) for i, _ in docs}
+
+
 def test_alignment_equals_the_full_table():
     rnd = random.Random(5)
     for _ in range(60):
