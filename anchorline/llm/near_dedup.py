@@ -3,7 +3,9 @@
 A text is the sequence of its runs of five words, each labelled with how often it has occurred before in the
 text. A sketch holds the `size` labelled runs with the smallest hashes, in the order of the text; two texts share it
 with a chance that falls with each edit and with each change of order. Texts that share one of `tables` sketches are
-candidates. A candidate pair is verified by a banded alignment: the longest common subsequence of the two sequences
+candidates. Sketches of short texts hold most of the text, so two of them rarely share one: texts of up to `short` runs
+are also candidates where they share one of their rarest runs, as many as similar texts cannot all differ in (prefix
+filter), which misses no pair. A candidate pair is verified by a banded alignment: the longest common subsequence of the two sequences
 within the band that the similarity allows. The similarity is aligned / (a + b - aligned); 0.8 and more is a link.
 
 Pairs within a group of candidates are not listed. Each group compares its members with one centre, the text whose
@@ -113,7 +115,7 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     if not len(i) or len(i) < least * (total - len(i)):
         return 0.0
-    band = total * (1 - least) / (1 + least)
+    band = total * (1 - least) / (1 + least) + 1e-9  # a whole number of places may come out just below it
     near = np.abs(i - j) <= band
     chain = j[near][np.argsort(i[near], kind="stable")]
     if len(chain) and (np.diff(chain) <= 0).any():
@@ -128,22 +130,39 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return made if made >= least else 0.0
 
 
-def _sketched(docs: DataFrame, id_col: str, text_col: str, tables: int, size: int) -> DataFrame:
-    """One row for each different text: (text_key, first_id, keys, sig)."""
+def _sketched(docs: DataFrame, id_col: str, text_col: str, tables: int, size: int, short: int) -> DataFrame:
+    """One row for each different text: (text_key, first_id, keys, sig, runs); `runs` of short texts only."""
     def rows(part: dict[str, list]) -> dict[str, list]:
         keys: list[list[int] | None] = []
         sigs: list[bytes | None] = []
+        few: list[list[int] | None] = []
         for text in part["text"]:
             runs = labelled_runs(text)
             keys.append(sketches(runs, tables, size).tolist() if len(runs) else None)
             sigs.append(signature(runs) if len(runs) else None)
-        return {"text_key": part["text_key"], "id": part["id"], "keys": keys, "sig": sigs}
+            few.append(runs.view(np.int64).tolist() if 0 < len(runs) <= short else None)
+        return {"text_key": part["text_key"], "id": part["id"], "keys": keys, "sig": sigs, "runs": few}
 
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(docs[id_col].alias("id"), text_of(text_col).alias("text")).withColumn("text_key", F.md5("text"))
-    made = map_rows(keyed, rows, f"text_key string, id {kind}, keys array<long>, sig binary")
+    made = map_rows(keyed, rows, f"text_key string, id {kind}, keys array<long>, sig binary, runs array<long>")
     return made.groupBy("text_key").agg(
-        F.min("id").alias("first_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")
+        F.min("id").alias("first_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"),
+        F.first("runs").alias("runs"),
+    )
+
+
+def _rare_runs(known: DataFrame, least: float) -> DataFrame:
+    """(no, key) for those of the rarest runs of each short text that another short text has too. Of n runs the first
+    n - least * n + 1, in one order for all texts, hold one of the first runs of every similar text."""
+    runs = stable(known.where("runs is not null").select("no", F.size("runs").alias("of"), F.explode("runs").alias("run")))
+    counts = runs.groupBy("run").agg(F.count("*").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("n", "run")))
+    sizes = F.col("of") - F.ceil(F.col("of") * least - 1e-9).cast("int") + 1
+    rarest = runs.join(counts, "run").groupBy("no", "of").agg(ordered.alias("runs"))
+    return (
+        rarest.select("no", F.explode(F.slice("runs", F.lit(1), sizes)).alias("rare")).where("rare.n > 1")
+        .select("no", F.xxhash64("rare.run").alias("key"))
     )
 
 
@@ -234,6 +253,7 @@ def _unlinked(grouped: DataFrame, roots: DataFrame, known: DataFrame) -> DataFra
 def find_classes(docs: DataFrame, known: DataFrame, text_col: str, least: float) -> DataFrame:
     """(node, root): the smallest number of the class of each text that is similar to another one."""
     rows = known.where("keys is not null").select("no", F.explode(F.array_distinct("keys")).alias("key"))
+    rows = rows.unionAll(_rare_runs(known, least))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = stable(rows.join(sizes, "key"))
     common = rows.groupBy("no").agg(F.sum("n").alias("weight"))
@@ -262,13 +282,14 @@ def find_classes(docs: DataFrame, known: DataFrame, text_col: str, least: float)
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, tables: int = 24, size: int = 6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, tables: int = 24, size: int = 6,
+    short: int = 50,
 ) -> DataFrame:
     """One row for each row of `docs`: (id, text_key, class_id, kept, repeats). `class_id` is the smallest id of the
     class. `kept` marks the rows with that id, among several texts of that id those with the smallest text key; then
     `repeats`, the number of rows equal in id and text, is above 1 only for rows given more than once."""
     known = stable(
-        _sketched(docs, id_col, text_col, tables, size).withColumn("no", F.monotonically_increasing_id())
+        _sketched(docs, id_col, text_col, tables, size, short).withColumn("no", F.monotonically_increasing_id())
     )
     roots = find_classes(docs, known, text_col, least)
     classes = (

@@ -115,6 +115,24 @@ def test_copies_of_copies_join_the_class_of_a_member_that_is_not_its_centre(spar
     assert {r.id: r.class_id for r in got} == {i: find(i) for i, _ in docs}
 
 
+def test_no_pair_of_short_texts_is_missed(spark):
+    docs, footer = [], " all rights are reserved by the owner"
+    for n in range(8, 45):
+        for k, change in enumerate(("append", "drop first", "prepend", "last", "same start")):
+            words = [f"t{n}x{k}y{i}" for i in range(n)]
+            other = {
+                "append": [*words, "more"], "drop first": words[1:], "prepend": ["more", *words],
+                "last": [*words[:-1], "more"], "same start": [*words[:-2], f"a{n}", f"b{n}"],
+            }[change]
+            docs += [" ".join(words) + footer * (n % 3 == 0), " ".join(other) + footer * (n % 3 == 0)]
+    docs = list(enumerate(docs))
+    want = {}
+    for (i, a), (j, b) in zip(docs[::2], docs[1::2], strict=True):
+        want |= {i: i, j: i if similarity(runs(a), runs(b)) >= 0.8 else j}
+    got = N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.id: r.class_id for r in got} == want
+
+
 def test_alignment_equals_the_full_table():
     rnd = random.Random(5)
     for _ in range(60):
