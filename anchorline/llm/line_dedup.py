@@ -1,13 +1,13 @@
 """Repeated lines, by winnowing over line hashes.
 
-The lines of a text are hashed, blank ones aside. Every window of consecutive lines that together have at least
-`words` words selects its smallest hash as a fingerprint, so any run of lines with so many words shares a fingerprint with
-each of its copies. Places with an equal fingerprint are joined to the first of them: the smallest id, then text, then
-line. Each match is extended line by line both ways, as far as the next window, which extends in turn. A
-run of matched lines with at least `words` words that occurs later than its first copy is deleted.
+The lines of a text are hashed, blank ones aside. Every shortest window of consecutive lines that together have at
+least `words` words, from each line onwards and from each line back, is keyed by the hashes of all its lines, so equal
+keys mean equal windows. The smallest hash of a window is its fingerprint and gives the window its place.
+Windows with an equal key are joined to the first of them: the smallest id, then text, then line. All later ones are
+deleted.
 
-A run is missed only where each of its fingerprints is a line with fewer words that, next to the same line, occurs
-elsewhere still earlier and without the rest of the run.
+Each line of a run with at least `words` words is in such a window within the run. So exactly the lines of runs that
+occur at an earlier place too are deleted, whatever else their lines are shared with.
 
 Lines are compared without white space at their ends; other differences count. Lines end with a line feed. Null
 and empty texts have no lines and stay as they are. Rows equal in id and text are one document and get the same
@@ -17,11 +17,9 @@ result; null ids come last. Lines of fewer words stay unless their run is long e
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right
 from collections import deque
-from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.llm.common import map_rows, text_of
@@ -39,9 +37,10 @@ def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
     return places, hashes, words
 
 
-def fingerprints(hashes: list[int], words: list[int], least: int) -> list[int]:
-    """Places of the smallest hash (the first among equals) of every window with at least `least` words."""
-    chosen, start, total = set(), 0, 0
+def selected(hashes: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(fingerprint, first, last) of the shortest window with at least `least` words that ends at each line, as far as
+    there is one. The fingerprint is the place of its smallest hash, the first among equals."""
+    out, start, total = [], 0, 0
     queue: deque[int] = deque()  # places in the window whose hash is smaller than all later ones
     for end, count in enumerate(words):
         total += count
@@ -54,46 +53,41 @@ def fingerprints(hashes: list[int], words: list[int], least: int) -> list[int]:
             if queue[0] < start:
                 queue.popleft()
         if total >= least:
-            chosen.add(queue[0])
-    return sorted(chosen)
+            out.append((queue[0], start, end))
+    return out
 
 
-def text_fingerprints(text: str, least: int) -> list[tuple[int, int, list[int], list[int]]]:
-    """(place, key, lines before it, lines after it, nearest first) of each fingerprint. A line with enough words
-    is its own key; a shorter one has a key with either neighbour, since its window reaches one of them. The lines on
-    either side go on until they have enough words for a window, which holds a fingerprint of its own."""
+def fingerprints(hashes: list[int], words: list[int], least: int) -> list[int]:
+    """Places of the smallest hash (the first among equals) of every window with at least `least` words."""
+    return sorted({at for at, _, _ in selected(hashes, words, least)})
+
+
+def text_windows(text: str, least: int) -> list[tuple[int, int, int, int]]:
+    """(fingerprint, first, last, key) of the shortest windows that end or start at each line. The key is the hash of
+    a single line, else of the hashes of all lines."""
     _, hashes, words = line_hashes(text)
-    total, out = [0, *accumulate(words)], []
-    for at in fingerprints(hashes, words, least):
-        start = max(bisect_right(total, total[at] - least) - 1, 0)
-        end = bisect_left(total, total[at + 1] + least)
-        left, right = hashes[start:at][::-1], hashes[at + 1:end]
-        keys = [hashes[at]] if words[at] >= least else [
-            *(hash((0, hashes[at], x)) for x in left[:1]), *(hash((1, hashes[at], x)) for x in right[:1])
-        ]
-        out += [(at, key, left, right) for key in keys]
-    return out
+    found = {(first, last): at for at, first, last in selected(hashes, words, least)}
+    end = len(words) - 1
+    for at, first, last in selected(hashes[::-1], words[::-1], least):
+        found.setdefault((end - last, end - first), end - at)
+    return [
+        (at, first, last, hashes[first] if first == last else hash(tuple(hashes[first:last + 1])))
+        for (first, last), at in found.items()
+    ]
 
 
 def _selected(keyed: DataFrame, words: int) -> DataFrame:
     def rows(part: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("id", "text_key", "line", "hash", "left", "right")}
+        out: dict[str, list] = {k: [] for k in ("id", "text_key", "line", "first", "last", "hash")}
         for key, ident, text in zip(part["text_key"], part["id"], part["text"], strict=True):
-            for found in text_fingerprints(text, words):
+            for found in text_windows(text, words):
                 for name, value in zip(out, (ident, key, *found), strict=True):
                     out[name].append(value)
         return out
 
     kind = keyed.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, text_key long, line int, hash long, left array<long>, right array<long>"
-    return map_rows(keyed, rows, schema).dropDuplicates(["id", "text_key", "line", "hash"])
-
-
-def _common(a: str, b: str) -> Column:
-    """How many elements two arrays have in common from their start on."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    differs = F.array_position(same, False)
-    return F.when(differs == 0, F.size(same)).otherwise(differs - 1).cast("int")
+    schema = f"id {kind}, text_key long, line int, first int, last int, hash long"
+    return map_rows(keyed, rows, schema).dropDuplicates(["id", "text_key", "first", "last"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -102,40 +96,32 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 10) -> DataFrame:
-    """(id, text_key, matches): for each text with repeated lines, the stretches (first, last) of its lines that equal
+    """(id, text_key, matches): for each text with repeated lines, the windows (first, last) of its lines that equal
     lines at an earlier place; `source` is equal where that place is in the same run. Blank lines are not counted."""
     chosen = stable(_selected(_keyed(docs, id_col, text_col), words))
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "text_key", "line", "left", "right")
-    first = chosen.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.selectExpr(
-        "hash", "first.id as f_id", "first.text_key as f_key", "first.line as f_line", "first.left as f_left",
-        "first.right as f_right",
-    )
-    own = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key"))
-    at_first = own & (F.col("line") == F.col("f_line"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "line")
+    first = chosen.groupBy("hash").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1")
+    own = F.col("id").eqNullSafe(F.col("at.id")) & (F.col("text_key") == F.col("at.text_key"))
+    at_first = own & (F.col("line") == F.col("at.line"))
     return (
-        chosen.join(first, "hash").where(~at_first)
+        chosen.join(first.select("hash", "at"), "hash").where(~at_first)
         .select("id", "text_key", F.struct(
-            (F.col("line") - _common("left", "f_left")).alias("first"),
-            (F.col("line") + _common("right", "f_right")).alias("last"),
-            F.xxhash64("f_id", "f_key", F.col("f_line") - F.col("line")).alias("source"),
+            "first", "last", F.xxhash64("at.id", "at.text_key", F.col("at.line") - F.col("line")).alias("source"),
         ).alias("match"))
-        .groupBy("id", "text_key").agg(F.collect_set("match").alias("matches"))
+        .groupBy("id", "text_key").agg(F.collect_list("match").alias("matches"))
     )
 
 
-def without_lines(text: str, matches: list[dict], words: int) -> tuple[str, int]:
-    """The text without the runs of matched lines that have enough words, and the number of deleted lines. Blank
-    lines within a run go with it."""
-    places, _, counts = line_hashes(text)
-    before = [0, *accumulate(counts)]
+def without_lines(text: str, matches: list[dict]) -> tuple[str, int]:
+    """The text without the runs of matched windows, and the number of deleted lines. Blank lines within a run go
+    with it."""
+    places, _, _ = line_hashes(text)
     runs: list[list[int]] = []
     for match in sorted(matches, key=lambda m: (m["source"], m["first"])):
         if runs and runs[-1][0] == match["source"] and match["first"] <= runs[-1][2] + 1:
             runs[-1][2] = max(runs[-1][2], match["last"])
         else:
             runs.append([match["source"], match["first"], match["last"]])
-    runs = [r for r in runs if before[r[2] + 1] - before[r[1]] >= words]
     gone = {i for _, first, last in runs for i in range(first, last + 1)}
     drop = {i for _, first, last in runs for i in range(places[first], places[last] + 1)}
     return "\n".join([line for i, line in enumerate(text.split("\n")) if i not in drop]), len(gone)
@@ -154,7 +140,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         made, gone, left = [], [], []
         for text, matches in zip(part[text_col], part["matches"], strict=True):
             if matches:
-                text, n = without_lines(text, matches, words)
+                text, n = without_lines(text, matches)
             else:
                 n = 0
             made.append(text), gone.append(n), left.append(sum(1 for x in (text or "").split("\n") if x.strip()))

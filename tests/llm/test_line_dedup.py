@@ -58,6 +58,17 @@ def test_equals_all_comparisons(spark, seed, short):
     assert got == lines_left(docs, 10)
 
 
+@pytest.mark.parametrize("common", [12, 15])
+def test_runs_of_lines_that_different_runs_share(spark, common):
+    rnd = random.Random(common)
+    pool = [" ".join(f"m{i}" for _ in range(rnd.randint(1, 3))) for i in range(common)]
+    menus = [[rnd.choice(pool) for _ in range(rnd.randint(8, 10))] for _ in range(20)]
+    docs = [(i, "\n".join([f"own line {i}", *rnd.choice(menus), f"end of {i}"])) for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: lines_of(r.text) for r in L.drop_repeated_lines(df).collect()}
+    assert got == lines_left(docs, 10)
+
+
 def test_every_long_enough_run_shares_a_fingerprint():
     rnd = random.Random(7)
     for _ in range(100):
