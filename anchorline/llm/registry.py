@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm import ann, bpe, chat_views, line_dedup, near_dedup, packing, secret_scan, toxicity, url_filter, vector_dedup
+from anchorline.llm import (
+    ann, bpe, chat_views, line_dedup, near_dedup, packing, prefix_trie, secret_scan, toxicity, url_filter, vector_dedup,
+)
 from anchorline.llm.common import prepared, table
+from anchorline.session import stable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -203,3 +206,73 @@ def op10_chat_views(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.encode("rendered", "UTF-8"), 256).alias("rendered_sha256"),
         F.length("rendered").cast("long").alias("n_chars"), F.array_join(shown, ",").alias("mask"),
     )
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the CRC-32 of a text of ASCII characters, bit by bit."""
+    step = "xor(c::bigint, x::bigint)"
+    return f"""xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length({text}) + 1),
+        lambda i: [ord(substr({text}, i, 1)), 0, 0, 0, 0, 0, 0, 0]))),
+        lambda c, x: case when {step} & 1 = 1 then xor({step} >> 1, 3988292384) else {step} >> 1 end), 4294967295)"""
+
+
+TRIE_SQL = f"""
+with said as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as nth
+    from conversations where conv_id is not null),
+named as (
+    select conv_id, nth, sha256(concat(length(role), ':', role, text)) as name, length(text) as size from said),
+convs as (
+    select conv_id, conv_id - conv_id % 100 as head, {crc_sql("cast(conv_id as varchar)")} % 6 as h
+    from (select distinct conv_id from named)),
+rows_of as (
+    select c.conv_id, 0 as part, t.nth, t.name, t.size from convs c join named t on t.conv_id = c.head and t.nth <= c.h
+    union all
+    select c.conv_id, 1, t.nth, t.name, t.size from convs c join named t on t.conv_id = c.conv_id and t.nth > c.h),
+placed as (
+    select conv_id, row_number() over w as depth, string_agg(name, '') over w as path, size
+    from rows_of window w as (partition by conv_id order by part, nth rows between unbounded preceding and current row)),
+members as (
+    select conv_id, depth, sha256(path) as path, size from placed
+    union all select conv_id, 0, sha256(''), 0 from convs),
+nodes as (
+    select path, depth, min(conv_id) as conv_id, count(*) as n_convs, min(size) as size from members group by path, depth),
+linked as (
+    select n.*, up.path as parent from nodes n left join members up on up.conv_id = n.conv_id and up.depth = n.depth - 1),
+below as (
+    select parent, count(*) as n_children from linked where parent is not null group by parent),
+sums as (
+    select m.path, count(*) filter (not exists (select 1 from below b where b.parent = w.path)) as n_leaves,
+        sum((w.n_convs - 1) * w.size) as saved_tokens
+    from linked w join members m on m.conv_id = w.conv_id and m.depth <= w.depth group by m.path),
+lasts as (
+    select conv_id, path from members qualify row_number() over (partition by conv_id order by depth desc) = 1),
+ended as (
+    select path, string_agg(conv_id, ',' order by conv_id) as ids from lasts group by path)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs::bigint as n_convs,
+    coalesce(b.n_children, 0)::bigint as n_children, s.n_leaves::bigint as n_leaves,
+    s.saved_tokens::bigint as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from linked n left join nodes p on p.path = n.parent left join below b on b.parent = n.path
+    join sums s on s.path = n.path left join ended e on e.path = n.path
+"""
+
+
+def rebuilt_paths(messages: DataFrame) -> DataFrame:
+    """Paths of all conversations, each started with up to five turns of the first one of its hundred."""
+    own = stable(prefix_trie.paths(messages))
+    taken = F.crc32(F.col("id").cast("string").cast("binary")) % 6
+    return prefix_trie.started_with(own, F.col("id") - F.col("id") % 100, taken, most=5)
+
+
+@register(TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of the prefix trie of the rebuilt conversations."""
+    given = stable(rebuilt_paths(table(spark, folder, "conversations")))
+    nodes = prefix_trie.trie(given).join(prefix_trie.digest_of_ends(given), "node", "left")
+    none = F.sha2(F.lit(""), 256)
+    return nodes.select(
+        F.col("first_id").alias("conv_id"), "depth", F.col("parent_first_id").alias("parent_conv_id"),
+        F.col("n_members").alias("n_convs"), "n_children", "n_leaves", F.col("saved").alias("saved_tokens"),
+        F.coalesce("ends_sha256", none).alias("ends_sha256"),
+    )
