@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorline.llm import (
-    ann, bpe, chat_views, line_dedup, near_dedup, packing, prefix_trie, secret_scan, toxicity, url_filter, vector_dedup,
+    ann, bpe, chat_views, line_dedup, near_dedup, packing, prefix_trie, secret_scan, toxicity, turn_repair, url_filter,
+    vector_dedup,
 )
 from anchorline.llm.common import prepared, table
 from anchorline.session import stable
@@ -276,3 +277,116 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_members").alias("n_convs"), "n_children", "n_leaves", F.col("saved").alias("saved_tokens"),
         F.coalesce("ends_sha256", none).alias("ends_sha256"),
     )
+
+
+def damaged(messages: DataFrame) -> DataFrame:
+    """Conversations with planted faults, by the checksum of id and turn; nulls of role and text count as one space."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn")).cast("binary")) % 20
+    text = F.when(F.col("fault") == 1, "").when(
+        F.col("fault") == 2, F.translate(said("text"), ".!?", "")
+    ).otherwise(said("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(said("role"))
+    rows = messages.select("conv_id", "turn", "role", "text", fault.alias("fault")).where("fault <> 0")
+    copies = F.explode(F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+REPAIR_SQL = f"""
+with recursive given as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        concat(coalesce(cast(conv_id as varchar), ' '), ':', coalesce(cast(turn as varchar), ' ')) as name
+    from conversations),
+coded as (select *, {crc_sql("name")} % 20 as fault from given),
+damaged as (
+    select conv_id, turn, case fault when 4 then 'user' else role end as role,
+        case fault when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+        unnest(case fault when 3 then [1, 2] else [1] end) as copy
+    from coded where fault <> 0),
+placed as (
+    select conv_id, turn, role, text, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare,
+        row_number() over (partition by conv_id order by turn nulls first, role, text) as place
+    from damaged),
+numbered as (select *, row_number() over (partition by conv_id, role, text order by place) as nth from placed),
+typed as materialized (
+    select conv_id, turn, role, text, place, role[1] as initial,
+        case when bare = '' then 'blank' when nth > 1 then 'duplicate' when bare[-1] not in ('.', '!', '?') then 'truncated'
+            else '' end as fault
+    from numbered),
+moves(before, inserts, after, edit) as (
+    select s.state, i.n, e.after, e.edit
+    from (values (0), (1), (2), (3)) s(state), (values (0), (1), (2), (3)) i(n),
+        lateral (select case when i.n = 0 then s.state when (s.state = 2) = (i.n % 2 = 0) then 2 else 3 end as at) a,
+        lateral (
+            select a.at as after, 'D' as edit union all
+            select case when a.at = 2 then 3 else 2 end, 'R' union all
+            select 1, 's' where a.at = 0 union all
+            select case when a.at = 2 then 3 else 2 end, case when a.at = 2 then 'a' else 'u' end) e),
+conv as (
+    select conv_id, row_number() over () as c, count(place) as n
+    from (select g.conv_id, t.place from (select distinct conv_id from given) g
+        left join typed t on t.conv_id is not distinct from g.conv_id) group by conv_id),
+keyed as materialized (select c.c, t.* from typed t join conv c on t.conv_id is not distinct from c.conv_id),
+ways(c, place, state, cost, audit) as (
+    select c, 0::bigint, 0, 0::bigint, '' from conv
+    union all
+    select c, place, state, best.cost, best.audit from (
+        select w.c, t.place, m.after as state, min({{'cost': w.cost + 5 * m.inserts
+                + case m.edit when 'D' then 2 when 'R' then 1 else 0 end
+                + case when m.edit <> 'D' and t.fault = 'truncated' then 5 else 0 end,
+            'audit': concat(w.audit, repeat('I', m.inserts), case when m.edit in ('D', 'R') then m.edit else 'K' end)}}) as best
+        from ways w join keyed t on t.c = w.c and t.place = w.place + 1 join moves m on m.before = w.state
+        where m.edit = 'D' or t.fault not in ('blank', 'duplicate') and (m.edit = 'R' or m.edit = t.initial)
+        group by w.c, t.place, m.after)),
+chosen as (
+    select v.conv_id, v.c, min({{'cost': w.cost + case w.state when 1 then 10 when 2 then 5 else 0 end,
+        'audit': concat(w.audit, case w.state when 1 then 'II' when 2 then 'I' else '' end)}}) as best
+    from conv v join ways w on w.c = v.c and w.place = v.n group by v.conv_id, v.c),
+edits as (
+    select c, i, best.audit[i] as edit,
+        length(replace(best.audit[1:i], 'I', '')) as place
+    from chosen, lateral (select unnest(range(1, length(best.audit) + 1)) as i)),
+kept as (
+    select e.c, e.i, e.edit, case when e.edit = 'I' then '' else t.text end as text, t.role, t.initial,
+        row_number() over (partition by e.c order by e.i) as nth
+    from edits e left join keyed t on t.c = e.c and t.place = e.place and e.edit <> 'I' where e.edit <> 'D'),
+formed as (
+    select k.*, case when exists (
+        select 1 from kept f where f.c = k.c and f.nth = 1 and f.edit = 'K' and f.initial = 's') then 1 else 0 end as ahead
+    from kept k),
+texts as (
+    select c, string_agg(concat(case when edit = 'K' then role when (nth - ahead) % 2 = 1 then 'user' else 'assistant' end,
+        ':', text), chr(10) order by i) as whole
+    from formed group by c),
+pairs as (
+    select c, count(*) as illegal from (
+        select c, initial, lag(initial) over (partition by c order by place) as above,
+            row_number() over (partition by c order by place) as nth from keyed)
+    where nth > 1 and concat(above, initial) not in ('su', 'ua', 'au') group by c),
+sums as (
+    select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+        count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated
+    from keyed group by c)
+select h.conv_id, coalesce(s.gaps, 0)::bigint as gaps, coalesce(s.blank, 0)::bigint as blank,
+    coalesce(s.duplicate, 0)::bigint as duplicate, coalesce(s.truncated, 0)::bigint as truncated,
+    coalesce(p.illegal, 0)::bigint as illegal, h.best.cost::bigint as cost, h.best.audit as audit,
+    sha256(coalesce(t.whole, '')) as repaired_sha256
+from chosen h left join sums s on s.c = h.c left join pairs p on p.c = h.c left join texts t on t.c = h.c
+"""
+
+
+@register(REPAIR_SQL)
+def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    given = table(spark, folder, "conversations")
+    rows = turn_repair.typed(damaged(given))
+    plans = stable(turn_repair.audits(rows))
+    left = turn_repair.digests(turn_repair.repaired(rows, plans)).withColumnRenamed("id", "__id")
+    ids = given.select("conv_id").distinct()
+    found = ids.join(plans, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    found = found.join(left, F.col("conv_id").eqNullSafe(F.col("__id")), "left")
+    none = F.sha2(F.lit(""), 256)
+    return found.select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in turn_repair.FIGURES[:-1]),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", none).alias("repaired_sha256"),
+    )
