@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorline.llm import (
-    ann, bpe, chat_views, line_dedup, near_dedup, packing, prefix_trie, secret_scan, toxicity, turn_repair, url_filter,
-    vector_dedup,
+    ann, bpe, chat_views, line_dedup, mixing, near_dedup, packing, prefix_trie, secret_scan, toxicity, turn_repair,
+    url_filter, vector_dedup,
 )
 from anchorline.llm.common import prepared, table
 from anchorline.session import stable
@@ -390,3 +390,10 @@ def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in turn_repair.FIGURES[:-1]),
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", none).alias("repaired_sha256"),
     )
+
+
+@register()
+def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The words that a mix of one and a half times the corpus takes of every document."""
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "cut")
