@@ -9,8 +9,9 @@ Three facts make it a distributed job:
   cells, and the blocks are matched independently. A cut is right when each treated unit found its control
   nearer than any control beyond the cut. Blocks on both sides of a cut that fails are joined to a run and
   matched again, until all cuts hold.
-* A run too long for one task is matched block by block, from the high scores to the low. Each step reads
-  one block and the nearest blocks with free controls on both sides, and hands back what is left of them.
+* The blocks of a run too long for one task are matched at once, each on a guess of what the blocks above have taken and
+  left. Those whose guess was wrong are matched again, until all hold (`long_runs`). A task reads one block and the nearest
+  blocks with free controls on both sides; where those run dry, the next round goes on from there.
 
 The result equals the one-by-one rule in every case. Units only come back at the end: they are numbered
 in score order and joined by number to the flows between cells.
@@ -18,18 +19,23 @@ in score order and joined by number to the flows between cells.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import logging
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from anchorline.operators import greedy
+from anchorline.operators import greedy, long_runs
 from anchorline.operators.batches import with_row_index
 from anchorline.session import scratch_path, small_table, stable
 
 cloudpickle.register_pickle_by_value(greedy)  # executors need not have the package installed
+log = logging.getLogger(__name__)
+#: Slices of a block in the coarse line from which borders are guessed.
+SLICES = 16
 
 
 def unit_problems(df: DataFrame, id_col: str, required: Sequence[str]) -> DataFrame:
@@ -106,6 +112,7 @@ class _Run:
     solved: bool = False
     fail_above: bool = False
     fail_below: bool = False
+    tasks: list[int] = field(default_factory=list)
 
 
 @dataclass
@@ -115,9 +122,11 @@ class _Line:
     cells: DataFrame
     cells_in: list[int]
     controls_in: list[int]
+    treated_in: list[int]
     nearest_above: list[float]
     nearest_below: list[float]
     steps: list[str] = field(default_factory=list)
+    keys: Iterator[int] = field(default_factory=count)
 
 
 def _nearest(values: list[float | None]) -> list[float]:
@@ -145,107 +154,144 @@ def _line(units: DataFrame, block_cells: int) -> _Line:
     free = F.when(F.col("n_c") > 0, F.col("score"))
     stats = sorted(
         cells.groupBy("block").agg(
-            F.count("*").alias("cells"), F.sum("n_c").alias("n_c"), F.max(free).alias("high"), F.min(free).alias("low")
+            F.count("*").alias("cells"), F.sum("n_c").alias("n_c"), F.sum("n_t").alias("n_t"), F.max(free).alias("high"), F.min(free).alias("low")
         ).collect(),
         key=lambda r: r["block"],
     )
     return _Line(
-        cells, [r["cells"] for r in stats], [r["n_c"] for r in stats],
+        cells, [r["cells"] for r in stats], [r["n_c"] for r in stats], [r["n_t"] for r in stats],
         _nearest([r["low"] for r in stats]), _nearest([r["high"] for r in reversed(stats)])[::-1],
     )
 
 
 _ASSIGN = (
-    "block long, run long, active boolean, above double, below double, more_above boolean, more_below boolean"
+    "source long, block long, run long, active boolean, side int, skip long, above double, below double, "
+    "more_above boolean, more_below boolean"
 )
 
 
-def _solve(line: _Line, cells: DataFrame, assignment: list[tuple], max_units: int, keep_left: bool) -> DataFrame:
-    """Match each run of the assignment in one task; the result is written before it is used."""
-    spark = cells.sparkSession
-    plan = small_table(spark, assignment, _ASSIGN)  # one row per block
-
+def _solve(line: _Line, cells: DataFrame, max_units: int, keep_left: bool) -> DataFrame:
+    """Match each run of assigned cells in one task; the result is written before it is used."""
     def task(pdf):
         return greedy.solve(pdf, max_units, keep_left)
 
-    path = scratch_path(spark, "match-step")
-    cells.join(F.broadcast(plan), "block").groupBy("run").applyInPandas(task, greedy.SCHEMA).write.parquet(path)
+    path = scratch_path(cells.sparkSession, "match-step")
+    cells.groupBy("run").applyInPandas(task, greedy.SCHEMA).write.parquet(path)
     line.steps.append(path)
-    return spark.read.parquet(path)
+    return cells.sparkSession.read.schema(greedy.SCHEMA).parquet(path)
 
 
-def _take_status(runs: list[_Run], rows) -> None:
+def _match_short(line: _Line, runs: list[_Run], max_units: int) -> None:
+    plan = small_table(line.cells.sparkSession, [
+        (None, block, run.key, True, 0, 0, line.nearest_above[run.first], line.nearest_below[run.last], False, False)
+        for run in runs for block in range(run.first, run.last + 1)
+    ], _ASSIGN)  # one row per block
+    solved = _solve(line, line.cells.join(F.broadcast(plan), "block"), max_units, keep_left=False)
     by_key = {r.key: r for r in runs}
-    for row in rows:
+    status = solved.where(F.col("kind") == greedy.STATUS)
+    for row in status.select("run", "fail_above", "fail_below").distinct().collect():
         run = by_key[row["run"]]
-        run.fail_above = run.fail_above or row["fail_above"]
-        run.fail_below = run.fail_below or row["fail_below"]
+        run.fail_above, run.fail_below = run.fail_above or row["fail_above"], run.fail_below or row["fail_below"]
+    for run in runs:
+        run.tasks = [run.key]
 
 
-def _match_short(line: _Line, runs: list[_Run], max_units: int) -> None:
-    assignment = [
-        (block, run.key, True, line.nearest_above[run.first], line.nearest_below[run.last], False, False)
-        for run in runs for block in range(run.first, run.last + 1)
-    ]
-    solved = _solve(line, line.cells, assignment, max_units, keep_left=False)
-    status = solved.where(F.col("kind") == greedy.STATUS)
-    _take_status(runs, status.select("run", "fail_above", "fail_below").distinct().collect())
+def _chains(line: _Line, runs: list[_Run], reach: int) -> dict[int, long_runs.Chain]:
+    """What is known of each run before its first round: the counts of its blocks, and a guess from a coarse line."""
+    spark = line.cells.sparkSession
+    owners = small_table(
+        spark, [(block, run.key) for run in runs for block in range(run.first, run.last + 1)], "block long, owner long"
+    )
+    width = max(1, max(line.cells_in) // SLICES)
+    slices = line.cells.join(F.broadcast(owners), "block").groupBy(
+        "owner", "block", F.call_function("div", F.col("cell"), F.lit(width)).alias("slice")
+    ).agg(F.avg("score").alias("score"), F.sum("n_t").alias("n_t"), F.sum("n_c").alias("n_c"))
+    of: dict[int, list[long_runs.Slice]] = {run.key: [] for run in runs}
+    for row in sorted(slices.collect(), key=lambda r: (r["block"], r["slice"])):  # a few rows per block
+        of[row["owner"]].append(long_runs.Slice(row["block"], row["score"], row["n_t"], row["n_c"]))
+    return {
+        run.key: long_runs.Chain(
+            range(run.first, run.last + 1), line.controls_in, line.treated_in, long_runs.coarse(of[run.key]), reach,
+            max(line.cells_in),
+        )
+        for run in runs
+    }
 
 
 def _match_long(line: _Line, runs: list[_Run], max_units: int, reach: int) -> None:
-    """One step per block (more when its neighbourhood runs dry), all runs in step."""
+    """All blocks of all runs at once on guessed borders, then those again whose border came out otherwise."""
+    spark = line.cells.sparkSession
     initial = stable(line.cells.repartition("block").sortWithinPartitions("block", "cell"))  # read by block
-    free = list(line.controls_in)
-    newest: dict[int, DataFrame] = {}
-    at = {run.key: run.first for run in runs}
-    waiting = list(runs)
-    while waiting:
-        assignment, sources = [], {}
-        for run in waiting:
-            block = at[run.key]
-            higher = [b for b in range(run.first, block) if free[b]]
-            lower = [b for b in range(block + 1, run.last + 1) if free[b]]
-            more_above, more_below = len(higher) > reach, len(lower) > reach
-            for b in [*higher[-reach:], block, *lower[:reach]]:
-                assignment.append(
-                    (b, run.key, b == block, line.nearest_above[run.first], line.nearest_below[run.last],
-                     more_above, more_below)
-                )
-                sources.setdefault(id(newest.get(b)), (newest.get(b), []))[1].append(b)
-        parts = [
-            (initial if df is None else df).where(F.col("block").isin(blocks)) for df, blocks in sources.values()
-        ]
-        cells = parts[0]
-        for part in parts[1:]:
-            cells = cells.unionByName(part)
-        solved = _solve(line, cells, assignment, max_units, keep_left=True)
-        left = solved.where(F.col("kind") == greedy.CELL).select(*line.cells.columns)
-        status = solved.where(F.col("kind") == greedy.STATUS).collect()
-        _take_status(waiting, status)
-        unfinished = set()
-        for row in status:
-            free[row["block"]] = row["n_c"]
-            newest[row["block"]] = left
-            if row["n_t"]:
-                unfinished.add(row["run"])
-        for run in waiting:
-            if run.key not in unfinished:
-                at[run.key] += 1
-        waiting = [run for run in waiting if at[run.key] <= run.last]
-
-
-def _merge(runs: list[_Run], next_key: int) -> list[_Run]:
-    merged: list[_Run] = []
+    chains, paths, rounds = _chains(line, runs, reach), {}, 0
+    while True:
+        tasks: dict[int, tuple[_Run, int, long_runs.Given]] = {}
+        from_line, from_left = [], []
+        for run in runs:
+            for block, given in chains[run.key].due():
+                key = next(line.keys)
+                tasks[key] = run, block, given
+                lower, more_below = chains[run.key].lower(block, given.below)
+                outside = line.nearest_above[run.first], line.nearest_below[run.last], given.more, more_below
+                own = (given.own, block, key, True, 0, given.skip, *outside)
+                (from_line if given.own is None else from_left).append(own)
+                from_left += [(x.key, x.block, key, False, -1, x.gone, *outside) for x in given.above]
+                from_line += [(None, b, key, False, 1, skip, *outside) for b, skip in lower]
+        if not tasks:
+            break
+        rounds += 1
+        cells = initial.join(F.broadcast(small_table(spark, from_line, _ASSIGN)), "block").drop("source")
+        if from_left:
+            left = spark.read.schema(greedy.SCHEMA).parquet(*sorted({paths[row[0]] for row in from_left}))
+            left = left.where(F.col("kind") == greedy.CELL).withColumnRenamed("run", "source").select(
+                "source", *line.cells.columns
+            )
+            plan = small_table(spark, from_left, _ASSIGN)  # a few rows per block
+            cells = cells.unionByName(left.join(F.broadcast(plan), ["source", "block"]).drop("source"))
+        solved = _solve(line, cells, max_units, keep_left=True)
+        paths |= dict.fromkeys(tasks, line.steps[-1])
+        found: dict[int, dict[int, Row]] = {}
+        for row in solved.where(F.col("kind") == greedy.STATUS).collect():
+            found.setdefault(row["run"], {})[row["block"]] = row
+        for key, (run, block, given) in tasks.items():
+            rows = found[key]
+            lower, _ = chains[run.key].lower(block, given.below)
+            taken = sum(line.controls_in[b] - skip - rows[b]["n_c"] for b, skip in lower)
+            own = rows[block]
+            chains[run.key].take(block, long_runs.Solved(
+                key, given, [x.free - rows[x.block]["n_c"] for x in given.above], given.below + taken,
+                tuple(own["marks"]), own["n_c"], own["n_t"] > 0, own["fail_above"], own["fail_below"],
+            ))
+    log.info("long runs: %d blocks in %d rounds", sum(r.last - r.first + 1 for r in runs), rounds)
     for run in runs:
-        before = merged[-1] if merged else None
-        if before and (before.fail_below or run.fail_above):
-            merged[-1] = _Run(before.first, run.last, next_key, fail_below=run.fail_below)
-            next_key += 1
+        final = chains[run.key].final()
+        run.tasks = [x.key for x in final]
+        run.fail_above = run.fail_above or any(x.fail_above for x in final)
+        run.fail_below = run.fail_below or any(x.fail_below for x in final)
+
+
+def _merge(runs: list[_Run], keys: Iterator[int], long: set[int]) -> list[_Run]:
+    """Join runs whose cuts fail. A long run takes in half as many blocks again on a side that fails, so that it is
+    matched anew a few times only, however far its choices spread."""
+    joined = [False] * len(runs)  # whether a run is joined to the one before
+    for i, (before, run) in enumerate(zip(runs, runs[1:]), 1):
+        joined[i] = before.fail_below or run.fail_above
+    for i, run in enumerate(runs):
+        if run.key in long:
+            far = (run.last - run.first + 1) // 2
+            for j in range(i + 1, len(runs)):
+                if not run.fail_below or runs[j].first > run.last + max(far, 1):
+                    break
+                joined[j] = True
+            for j in range(i, 0, -1):
+                if not run.fail_above or runs[j - 1].last < run.first - max(far, 1):
+                    break
+                joined[j] = True
+    merged: list[_Run] = []
+    for run, to_last in zip(runs, joined, strict=True):
+        if to_last:
+            merged[-1] = _Run(merged[-1].first, run.last, next(keys))
         else:
             merged.append(run)
-    for run in merged:
-        if not run.solved:
-            run.fail_above = run.fail_below = False
     return merged
 
 
@@ -267,8 +313,7 @@ def greedy_match(scored: DataFrame, id_col: str, treated: str, score: str, block
         order, "place",
     )
     line = _line(units, block_cells)
-    runs = [_Run(b, b, b) for b in range(len(line.cells_in))]
-    next_key = len(runs)
+    runs = [_Run(b, b, next(line.keys)) for b in range(len(line.cells_in))]
     while True:
         todo = [r for r in runs if not r.solved]
         size = {r.key: sum(line.cells_in[r.first: r.last + 1]) for r in todo}
@@ -280,14 +325,13 @@ def greedy_match(scored: DataFrame, id_col: str, treated: str, score: str, block
             _match_long(line, long, max_units, reach)
         for r in todo:
             r.solved = True
-        merged = _merge(runs, next_key)
+        merged = _merge(runs, line.keys, {r.key for r in long})
         if len(merged) == len(runs):
             break
-        next_key = max(r.key for r in merged) + 1
         runs = merged
 
     spark = scored.sparkSession
-    final = small_table(spark, ((r.key,) for r in runs), "run long")  # one row per run
+    final = small_table(spark, ((key,) for r in runs for key in r.tasks), "run long")  # one row per run or block
     links = (
         spark.read.schema(greedy.SCHEMA).parquet(*line.steps)
         .where(F.col("kind") == greedy.FLOW)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from anchorline.operators import long_runs
 from anchorline.operators import matching as M
 
 
@@ -61,6 +62,37 @@ def test_one_score_shared_by_most_units(spark):
     assert matched(spark, rows, block_cells=8, task_cells=16, max_units=7) == one_by_one(rows)
 
 
+def bell(seed, n, shift):
+    rng = np.random.default_rng(seed)
+    treated = rng.random(n) < 0.5
+    scores = rng.normal(size=n) + np.where(treated, shift, 0)
+    return [(i, float(x), bool(t)) for i, (x, t) in enumerate(zip(scores, treated))]
+
+
+@pytest.mark.parametrize("shift", [0.5, -0.5])
+def test_long_runs_take_few_rounds(spark, caplog, shift):
+    rows = bell(1, 2500, shift)
+    with caplog.at_level("INFO", logger="anchorline.operators.matching"):
+        assert matched(spark, rows, block_cells=50, task_cells=60) == one_by_one(rows)
+    told = [[int(x) for x in r.getMessage().split() if x.isdigit()] for r in caplog.records]
+    blocks, rounds = max(told)
+    assert blocks >= 30 and rounds <= blocks / 3
+
+
+def test_long_run_of_shared_scores_goes_on_where_its_lists_end(spark):
+    rows = [(i, round(x, 1), t) for i, x, t in bell(3, 1500, -0.7)]
+    assert matched(spark, rows, block_cells=4, task_cells=5, reach=1, max_units=9) == one_by_one(rows)
+
+
+def test_borders_of_a_coarse_line():
+    line = [long_runs.Slice(0, 5.0, 3, 1), long_runs.Slice(0, 4.0, 0, 4), long_runs.Slice(1, 3.0, 4, 1), long_runs.Slice(2, 1.0, 0, 9)]
+    assert long_runs.coarse(line) == {0: 0, 1: 1, 2: 0}
+    stack = (long_runs.Left(3, 1, (7,), 0, 2), (long_runs.Left(1, 0, (8,), 1, 5), None))
+    assert long_runs.popped(stack, 4) == (long_runs.Left(1, 0, (8,), 3, 3), None)
+    assert long_runs.popped(stack, 9) is None
+    assert long_runs.top_of(stack, 1, 0) == ((stack[0],), True) and long_runs.top_of(stack, 1, 3)[1] is False
+
+
 def test_no_controls(spark):
     assert matched(spark, [(1, 0.2, True), (2, 0.3, True)]) == set()
 
