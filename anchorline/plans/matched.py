@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from anchorline.functions.clean import equals, override
 from anchorline.functions.times import compose, elapsed
 from anchorline.operators import matching as M
+from anchorline.operators.balance import balance_distances
 from anchorline.session import small_table, stable
 
 # End dates corrected by hand (patient id, only for this start date, end date).
@@ -46,7 +47,7 @@ def matching_features(sheet: DataFrame, rules: DataFrame) -> DataFrame:
 def matched_cohort(features: DataFrame, id_col: str = "fin", treated: str = "ca_given",
                    covariates: Sequence[str] = ("cci", "code_duration"), **limits: int) -> dict[str, DataFrame]:
     """Score, common support on both sides, 1:1 match: the matched rows, the pairs, the balance before
-    and after, and the sample counts."""
+    and after, the sample counts, and all units with the flags `matched` and `discarded`."""
     features = stable(features)
     M.require_units(features, id_col, [treated, *covariates])
     scored = stable(M.in_support(M.propensity_scores(features, treated, covariates), treated, "distance"))
@@ -60,4 +61,11 @@ def matched_cohort(features: DataFrame, id_col: str = "fin", treated: str = "ca_
         "pairs": M.pair_table(scored, pairs, id_col, treated),
         "balance": M.balance_summary(flagged, treated, ["distance", *covariates], "matched"),
         "counts": M.sample_counts(flagged, treated, "matched", "discarded"),
+        "units": flagged,
     }
+
+
+def matched_distances(cohort: dict[str, DataFrame], treated: str = "ca_given",
+                      covariates: Sequence[str] = ("distance", "cci", "code_duration")) -> DataFrame:
+    """eCDF and eQQ distances of a matched cohort, before and after matching."""
+    return balance_distances(cohort["units"], treated, covariates, "matched")

@@ -536,3 +536,36 @@ def customer_match_balance(spark, folder):
     numbers = ["mean_treated", "mean_control", "sd_control", "mean_diff", "std_mean_diff"]
     balance = _customer_match(spark, folder)["balance"]
     return balance.select("sample", "variable", *(F.round(c, 5).alias(c) for c in numbers))
+
+
+@register(BY_SCORE + """
+, used as (select treated_id as id from pairs union all select control_id from pairs),
+tall as (select c_custkey, treated, 'c_acctbal' as variable, x1 as x from scored
+  union all select c_custkey, treated, 'n_orders', x2 from scored),
+sets as (select 'all' as sample, treated, variable, x from tall
+  union all select 'matched', treated, variable, x from tall where c_custkey in (select id from used)),
+spots as (select distinct sample, variable, x as spot from sets),
+shares as (select sample, variable, spot,
+    abs(avg((x <= spot)::int) filter (treated) - avg((x <= spot)::int) filter (not treated)) as gap
+  from spots join sets using (sample, variable) group by sample, variable, spot),
+lists as (select sample, variable, list(x order by x) filter (treated) as t, list(x order by x) filter (not treated) as c
+  from sets group by sample, variable),
+sized as (select sample, variable, case when len(t) <= len(c) then t else c end as small,
+    case when len(t) <= len(c) then c else t end as large from lists),
+ranks as (select *, unnest(range(len(small))) as k from sized),
+places as (select *, case when len(small) = 1 then 0 else k * (len(large) - 1) // (len(small) - 1) end as f,
+    case when len(small) = 1 then 0.0 else (k * (len(large) - 1) % (len(small) - 1))::double / (len(small) - 1) end as past
+  from ranks),
+diffs as (select sample, variable,
+    abs(small[k + 1] - (large[f + 1] + past * (coalesce(large[f + 2], large[f + 1]) - large[f + 1]))) as diff from places),
+quantiles as (select sample, variable, avg(diff) as mean, median(diff) as median, max(diff) as most from diffs
+  group by sample, variable)
+select sample, variable, round(avg(gap), 6) as ecdf_mean, round(max(gap), 6) as ecdf_max, round(any_value(mean), 6) as eqq_mean,
+  round(any_value(median), 6) as eqq_median, round(any_value(most), 6) as eqq_max
+from shares join quantiles using (sample, variable) group by sample, variable
+""")
+def balance_distances(spark, folder):
+    """Distances of the distributions of both groups, before and after matching."""
+    distances = matched.matched_distances(_customer_match(spark, folder), "treated", _COVARIATES)
+    numbers = ["ecdf_mean", "ecdf_max", "eqq_mean", "eqq_median", "eqq_max"]
+    return distances.select("sample", "variable", *(F.round(c, 6).alias(c) for c in numbers))
