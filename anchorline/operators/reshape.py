@@ -15,12 +15,16 @@ def vocabulary(frames: Sequence[tuple[DataFrame, str]], name: str = "event") ->
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def discover_values(df: DataFrame, column: str, limit: int | None = None) -> list:
-    """Distinct values to become columns, sorted: as many as the result shall have columns. With `limit` it
-    fails rather than return more."""
+#: Columns that a table made from values may have.
+MOST_COLUMNS = 2000
+
+
+def discover_values(df: DataFrame, column: str, limit: int = MOST_COLUMNS) -> list:
+    """Distinct values to become columns, sorted: as many as the result shall have columns. It fails rather than return
+    more than `limit`."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    rows = (values if limit is None else values.limit(limit + 1)).collect()
-    if limit is not None and len(rows) > limit:
+    rows = values.limit(limit + 1).collect()
+    if len(rows) > limit:
         raise ValueError(f"{column} has more than {limit} distinct values; too many for columns")
     return sorted(r[0] for r in rows)
 

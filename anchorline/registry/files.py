@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from anchorline.operators import matching
 from anchorline.registry import stand_ins as S
@@ -85,17 +89,39 @@ def write_datasets(spark, folder):
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
-@register(sql_with("clinical_event") + """
-select event_id, parent_event_id, encntr_id, person_id, event_cd, event_class_cd, event_end_dt_tm, result_val,
-       result_units_cd, valid_until_dt_tm from clinical_event
-""")
+#: What stands for a column of each type in a sum that both engines form exactly.
+_SPARK_SUM = {"bigint": "{c} % 1000003", "double": "cast(round({c} * 100) as bigint)", "string": "length({c})",
+              "timestamp_ntz": "unix_micros(cast({c} as timestamp)) % 1000003"}
+_SQL_SUM = {**_SPARK_SUM, "timestamp_ntz": "epoch_us({c}) % 1000003"}
+
+
+def _columns() -> list[tuple[str, str, str]]:
+    return [(name, f.name, f.dataType.simpleString()) for name, ddl in SCHEMAS.items() for f in T.StructType.fromDDL(ddl)]
+
+
+@register(sql_with(*("resus_orders" if name == "orders" else name for name in SCHEMAS)) + " union all ".join(
+    f"select '{name}' as name, '{c}' as field, count(*) as n, count({c}) as present, "
+    f"sum({_SQL_SUM[kind].format(c=c)})::bigint as total from {'resus_orders' if name == 'orders' else name}"
+    for name, c, kind in _columns()
+))
 def load_warehouse(spark, folder):
-    """All warehouse tables written, and the event table read with its declared schema."""
-    tables = S.warehouse(spark, folder)
+    """All nine warehouse tables written, read with their declared schemas and summed up, one row for each column."""
+    given = S.warehouse(spark, folder)
     path = scratch_path(spark, "warehouse")
     for name in SCHEMAS:
-        getattr(tables, name).write.parquet(f"{path}/{name}")
-    return load(spark, path).clinical_event
+        getattr(given, name).write.parquet(f"{path}/{name}")
+    tables, parts = load(spark, path), []
+    for name in SCHEMAS:
+        fields = [(c, kind) for of, c, kind in _columns() if of == name]
+        sums = [F.count("*").alias("n")]
+        for c, kind in fields:
+            sums += [F.count(c).alias(f"{c}__n"), F.expr(f"sum({_SPARK_SUM[kind].format(c=c)})").cast("long").alias(f"{c}__t")]
+        rows = [
+            F.struct(F.lit(name).alias("name"), F.lit(c).alias("field"), F.col("n"), F.col(f"{c}__n").alias("present"),
+                     F.col(f"{c}__t").alias("total")) for c, _ in fields
+        ]
+        parts.append(getattr(tables, name).agg(*sums).select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionAll, parts)
 
 
 @register("""

@@ -258,6 +258,9 @@ def test_presence_discovery_and_vocabulary(spark):
     assert reshape.discover_values(df, "c") == ["a", "b"]
     with pytest.raises(ValueError, match="too many"):
         reshape.discover_values(df, "c", limit=1)
+    many = spark.range(reshape.MOST_COLUMNS + 1).selectExpr("cast(id as string) as c")
+    with pytest.raises(ValueError, match="too many"):
+        reshape.discover_values(many, "c")
     present = reshape.presence_pivot(df, ["id"], "c", ["a", "b"], prefix="p.").collect()
     assert {(r["id"], r["p.a"], r["p.b"]) for r in present} == {(1, True, None), (2, None, True)}
     assert rows(reshape.presence_pivot(df, ["id"], "c", [])) == [(1,), (2,)]
@@ -382,3 +385,45 @@ def test_batches_and_row_index(spark):
     numbered = batches.with_row_index(df.where("fin is not null").distinct(), [F.col("fin").desc()])
     assert {r.fin: r.row_index for r in numbered.collect()} == {f: 199 - i for i, f in enumerate(ids)}
     assert batches.batch_ids(df.limit(0), "fin").count() == 0
+
+
+def hot_tables(spark, n=3000):
+    """A left table, and a right table of which one key holds a third and another a sixth; null keys on both sides."""
+    key = "case when id % 3 = 0 then 7 when id % 6 = 1 then 5 when id % 100 = 2 then null else id % 400 + 20 end"
+    right = spark.range(n).selectExpr(f"cast({key} as int) as k", "id as r", "id % 50 as ts")
+    left = spark.range(60).selectExpr("case when id < 8 then 7 when id = 9 then null else id end as k", "id as l", "id % 7 as anchor")
+    return left, right
+
+
+def test_frequent_keys_are_found_and_dealt_evenly(spark):
+    left, right = hot_tables(spark)
+    assert sorted(lookup.frequent_keys(right, ["k"], 400).values()) == [500, 1000]
+    assert lookup.frequent_keys(right, ["k"], 5000) == {}
+    assert lookup.frequent_keys(right.limit(0), ["k"], 1) == {}
+    _, rest, _, _, dealt = lookup._split(left, right, ["k"], 100)
+    sizes = [r["count"] for r in dealt.groupBy("k", "__slice").count().collect()]
+    assert len(sizes) == 15 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    assert rest.where("k in (5, 7)").isEmpty() and rest.count() + sum(sizes) == 3000
+
+
+@pytest.mark.parametrize("least", [10, 100, 10**9])
+def test_outer_joins_with_frequent_keys_equal_the_plain_join(spark, least):
+    left, right = hot_tables(spark, 1200)
+    wanted = F.col("r") % 4 != 3
+    got = lookup.left_with_condition(left, right, ["k"], wanted, least)
+    want = left.join(right.where(wanted), ["k"], "left")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    got = lookup.outer_before(left, right, ["k"], "ts", "anchor", least)
+    named = right.withColumnRenamed("k", "k2")
+    want = left.join(named, (F.col("k") == F.col("k2")) & (F.col("ts") < F.col("anchor")), "left").drop("k2")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_running_totals_over_blocks(spark):
+    rows = [("a" if i % 3 else "b", i, i % 5) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i long, n long").repartition(5)
+    got = {(r.k, r.i): r.upto_n for r in batches.running_totals(df, ["k"], ["i"], ["n"], block=7).collect()}
+    sums = {}
+    for k, i, n in rows:
+        sums[k] = sums.get(k, 0) + n
+        assert got[k, i] == sums[k]

@@ -18,6 +18,7 @@ QUERIES = all_queries()
 ONE_ROW = {
     "balance_summary", "common_support", "greedy_match", "matched_sample", "match_balance", "match_counts",
     "customer_match_balance", "customer_match_pairs", "customer_match_sample", "matched_cohort", "match_pairs",
+    "balance_distances", "write_datasets", "load_warehouse",  # one row per data set, or per column of a table
 }
 
 
