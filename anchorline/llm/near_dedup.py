@@ -9,10 +9,11 @@ filter), which misses no pair. A candidate pair is verified by a banded alignmen
 within the band that the similarity allows. The similarity is aligned / (a + b - aligned); 0.8 and more is a link.
 
 Pairs within a group of candidates are not listed. Each group compares its members with one centre, the text whose
-sketches are the most common. Members that are not linked to their centre then are screened in blocks against all other
-members, those that are linked to it included, by the agreement of small signatures and unless the two are linked
-already. Only pairs that agree nearly enough leave a block and are aligned: first the best one of each such member and
-block, then all that are still not linked.
+sketches are the most common. Groups whose members are not all linked then are compared in blocks: a block counts the runs that
+its texts share, all at once, and aligns a pair only if these are enough and the two are not linked yet, in the block or
+before. It hands back as many links as join its texts, never all pairs. At first each member takes part in one block of
+its group; what is still not linked to the centre's class then meets all other members of its group. So every pair of
+candidates has been compared, or is in one class already.
 
 Words are runs of word characters, in lower case. A text of fewer than five words is one run; texts without words
 (null, empty, marks only) link with nothing. Equal texts are one class whatever their ids, and are compared once;
@@ -27,21 +28,19 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.llm.common import map_rows, text_of
 from anchorline.llm.graph import components
+from anchorline.llm.vectors import groups
 from anchorline.session import stable
 
 WORD = re.compile(r"\w+")
 RUN = 5
-#: Members of a centre that get its text together; texts of a block that are compared with another block.
-MEMBERS, BLOCK = 64, 256
-#: Bins of a signature, and how far below the threshold two signatures may agree to be looked at.
-BINS, MARGIN = 128, 0.15
+#: Members of a centre that get its runs together; texts of a block; runs whose places are counted at once.
+MEMBERS, BLOCK, COLUMNS = 64, 256, 8192
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,14 +99,6 @@ def sketches(runs: np.ndarray, tables: int, size: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signature(runs: np.ndarray) -> bytes:
-    """The smallest hash in each of a fixed number of bins, as one byte; 0 marks an empty bin."""
-    hashed = mix(runs ^ np.uint64(0x5851F42D4C957F2D))
-    best = np.full(BINS, np.iinfo(np.uint64).max)
-    np.minimum.at(best, (hashed % np.uint64(BINS)).astype(np.int64), hashed >> np.uint64(8))
-    return np.where(best == np.iinfo(np.uint64).max, 0, best % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
-
-
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Similarity of two sequences of distinct runs, 0 if it is below `least`. Only places that differ by no more
     than the runs that a similar pair may leave out can be aligned; there the longest increasing chain counts."""
@@ -131,24 +122,21 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, tables: int, size: int, short: int) -> DataFrame:
-    """One row for each different text: (text_key, first_id, keys, sig, runs); `runs` of short texts only."""
+    """One row for each different text: (text_key, first_id, keys, runs); `runs` of short texts only."""
     def rows(part: dict[str, list]) -> dict[str, list]:
         keys: list[list[int] | None] = []
-        sigs: list[bytes | None] = []
         few: list[list[int] | None] = []
         for text in part["text"]:
             runs = labelled_runs(text)
             keys.append(sketches(runs, tables, size).tolist() if len(runs) else None)
-            sigs.append(signature(runs) if len(runs) else None)
             few.append(runs.view(np.int64).tolist() if 0 < len(runs) <= short else None)
-        return {"text_key": part["text_key"], "id": part["id"], "keys": keys, "sig": sigs, "runs": few}
+        return {"text_key": part["text_key"], "id": part["id"], "keys": keys, "runs": few}
 
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(docs[id_col].alias("id"), text_of(text_col).alias("text")).withColumn("text_key", F.md5("text"))
-    made = map_rows(keyed, rows, f"text_key string, id {kind}, keys array<long>, sig binary, runs array<long>")
+    made = map_rows(keyed, rows, f"text_key string, id {kind}, keys array<long>, runs array<long>")
     return made.groupBy("text_key").agg(
-        F.min("id").alias("first_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"),
-        F.first("runs").alias("runs"),
+        F.min("id").alias("first_id"), F.first("keys").alias("keys"), F.first("runs").alias("runs")
     )
 
 
@@ -167,24 +155,24 @@ def _rare_runs(known: DataFrame, least: float) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """`pairs` (centre, member) that are similar. A centre's text goes once to every few members of it, and rows of
+    """`pairs` (centre, member) that are similar. A centre's runs go once to every few members of it, and rows of
     a group follow each other, so that a task holds one pair at a time."""
     sized = pairs.join(pairs.groupBy("centre").agg(F.count("*").alias("n")), "centre")
     chunk = F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / MEMBERS).cast("int")).alias("chunk")
     dealt = sized.select("centre", chunk, "member")
-    rows = dealt.join(texts.withColumnRenamed("no", "member"), "member").select("centre", "chunk", "member", "text")
+    rows = dealt.join(texts.withColumnRenamed("no", "member"), "member").select("centre", "chunk", "member", "runs")
     heads = dealt.select("centre", "chunk").distinct().join(texts.withColumnRenamed("no", "centre"), "centre")
-    rows = heads.select("centre", "chunk", F.lit(None).cast("long").alias("member"), "text").unionAll(rows)
+    rows = heads.select("centre", "chunk", F.lit(None).cast("long").alias("member"), "runs").unionAll(rows)
     rows = rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", F.col("member").asc_nulls_first())
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.zeros(0, np.uint64)
         for part in parts:
             centres, members = [], []
-            for centre, member, text in zip(
-                part["centre"].to_pylist(), part["member"].to_pylist(), part["text"].to_pylist(), strict=True
+            for centre, member, runs in zip(
+                part["centre"].to_pylist(), part["member"].to_pylist(), part["runs"].to_pylist(), strict=True
             ):
-                runs = labelled_runs(text)
+                runs = np.frombuffer(runs, np.uint64)
                 if member is None:
                     head = runs
                 elif aligned(head, runs, least):
@@ -196,58 +184,101 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(compare, "centre long, member long")
 
 
-def _likely(rows: DataFrame, least: float, best: bool = False) -> DataFrame:
-    """Pairs (centre, member), the smaller number first, of rows (key, no, sig, root, apart) with equal key and
-    different root whose signatures agree nearly as often as similar texts do; one of them is `apart`. Groups are
-    compared in blocks: those apart with each other and with the rest. Only likely pairs leave a block, with `best` only
-    the one that agrees most for each row that is apart."""
-    sizes = rows.groupBy("key").agg(
-        F.ceil(F.sum(F.col("apart").cast("int")) / BLOCK).cast("int").alias("asks"),
-        F.ceil(F.sum((~F.col("apart")).cast("int")) / BLOCK).cast("int").alias("rest"),
-    )
-    hashed = F.xxhash64("no")
-    own = F.when(F.col("apart"), F.pmod(hashed, F.col("asks"))).otherwise(F.col("asks") + F.pmod(hashed, F.col("rest")))
-    last = F.col("asks") - 1 + F.when(F.col("apart"), F.col("rest")).otherwise(0)
+def shared_runs(texts: list[np.ndarray]) -> np.ndarray:
+    """How many runs each two texts share: products of the marks of a bounded number of runs at a time."""
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    runs, place, times = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    common = times > 1  # a run of one text is shared by none
+    column = np.cumsum(common) - 1
+    owner, place = owner[common[place]], column[place[common[place]]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    shared = np.zeros((len(texts), len(texts)), np.float32)
+    for start in range(0, int(common.sum()), COLUMNS):
+        low, high = np.searchsorted(place, [start, start + COLUMNS])
+        marks = np.zeros((len(texts), COLUMNS), np.float32)
+        marks[owner[low:high], place[low:high] - start] = 1
+        shared += marks @ marks.T
+    return shared
+
+
+def joined_pairs(
+    no: np.ndarray, root: np.ndarray, apart: np.ndarray, texts: list[np.ndarray], least: float
+) -> list[tuple[int, int]]:
+    """Links that join the texts of a block: pairs in different classes, one of them apart, that are similar."""
+    own: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while own.setdefault(x, x) != x:
+            x = own[x] = own[own[x]]
+        return x
+
+    sizes = np.array([len(t) for t in texts], np.float32)
+    shared = shared_runs(texts)
+    total = sizes[:, None] + sizes[None, :] - shared
+    fits = (shared >= least * total - 1e-3) & apart[:, None] & (root[:, None] != root[None, :])
+    a, b = np.nonzero(fits)
+    best = np.argsort(-(shared[a, b] / total[a, b]), kind="stable")
+    out = []
+    for i, j in zip(a[best].tolist(), b[best].tolist(), strict=True):
+        x, y = find(int(root[i])), find(int(root[j]))
+        if x != y and aligned(texts[i], texts[j], least):
+            own[max(x, y)] = min(x, y)
+            out.append((int(no[i]), int(no[j])))
+    return out
+
+
+def _blocks(rows: DataFrame, texts: DataFrame, least: float, whole: bool) -> DataFrame:
+    """Links (a, b) between different classes of the groups `rows` (key, no, root, apart). Each group is cut into blocks;
+    with `whole`, blocks of rows that are apart meet all blocks of their group, else each block is by itself."""
+    hashed = F.xxhash64("no", F.lit(int(whole)))
+    if whole:
+        sizes = rows.groupBy("key").agg(
+            F.ceil(F.sum(F.col("apart").cast("int")) / BLOCK).cast("int").alias("asks"),
+            F.ceil(F.sum((~F.col("apart")).cast("int")) / BLOCK).cast("int").alias("rest"),
+        )
+        rest = F.col("asks") + F.pmod(hashed, F.col("rest"))
+        own = F.when(F.col("apart"), F.pmod(hashed, F.col("asks"))).otherwise(rest)
+        last = F.col("asks") - 1 + F.when(F.col("apart"), F.col("rest")).otherwise(0)
+        other = F.explode(F.sequence(F.lit(0), last))
+    else:
+        sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks"))
+        own = F.pmod(hashed, F.col("asks"))
+        other = F.col("own")
     dealt = (
-        rows.join(sizes, "key").withColumn("own", own.cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "no",
-                "sig", "root")
+        rows.join(sizes, "key").withColumn("own", own.cast("int")).withColumn("other", other)
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "no", "root", "apart")
+        .join(texts, "no").repartition("block").sortWithinPartitions("block")
     )
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        sigs = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), BINS)
-        no, root, own = part["no"].to_numpy(), part["root"].to_numpy(), part["own"].to_numpy()
-        low, high = part["low"].iloc[0], part["high"].iloc[0]
-        out = []
-        for i in np.nonzero(own == low)[0]:
-            others = np.nonzero((own == high) & (root != root[i]))[0]
-            either = ((sigs[others] > 0) | (sigs[i] > 0)).sum(axis=1)
-            same = ((sigs[others] == sigs[i]) & (sigs[others] > 0)).sum(axis=1)
-            fits = same >= (least - MARGIN) * either
-            found = others[fits]
-            if best and len(found):
-                found = found[[np.argmax(same[fits] / either[fits])]]
-            out += [(min(no[i], no[j]), max(no[i], no[j])) for j in found]
-        return pd.DataFrame(out, columns=["centre", "member"], dtype="int64")
-
-    return dealt.groupBy("key", "low", "high").applyInPandas(compare, "centre long, member long").distinct()
-
-
-def _unlinked(grouped: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (key, no, sig, root, apart) of the groups whose members are not all linked yet; those that are not linked
-    to their centre are `apart`. Centres themselves are left out: every member of theirs has been compared with them."""
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups(parts, "block"):
+            column = lambda name: part[name].to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            texts = [np.frombuffer(x, np.uint64) for x in part["runs"].to_pylist()]
+            links = joined_pairs(column("no"), column("root"), column("apart"), texts, least)
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _unlinked(grouped: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, no, root, apart) of the groups whose members are not all linked yet; those that are not in their
+    centre's class are `apart`. Centres themselves are left out: every member of theirs has been compared with them. Of
+    groups with the same members one is enough."""
     of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     rows = (
         grouped.join(of("member"), "member", "left").join(of("centre"), "centre", "left")
         .select("key", F.col("member").alias("no"), F.coalesce("member_root", "member").alias("root"),
                 F.coalesce("centre_root", "centre").alias("to"))
     )
-    split = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return (
-        rows.join(split.select("key"), "key").select("key", "no", "root", (F.col("root") != F.col("to")).alias("apart"))
-        .join(known.select("no", "sig"), "no")
+    members = F.struct(F.count("*"), F.bit_xor(F.xxhash64("no")), F.bit_xor(F.xxhash64("no", "no")), F.min("to"))
+    split = (
+        rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), members.alias("members"))
+        .where("low <> high").groupBy("members").agg(F.min("key").alias("key"))
     )
+    return rows.join(split.select("key"), "key").select("key", "no", "root", (F.col("root") != F.col("to")).alias("apart"))
 
 
 def find_classes(docs: DataFrame, known: DataFrame, text_col: str, least: float) -> DataFrame:
@@ -265,19 +296,16 @@ def find_classes(docs: DataFrame, known: DataFrame, text_col: str, least: float)
     pairs = grouped.select("centre", "member").distinct()
     wanted = known.join(pairs.select(F.explode(F.array("centre", "member")).alias("no")).distinct(), "no")
     keyed = docs.select(F.md5(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
-    texts = keyed.join(wanted.select("text_key", "no"), "text_key").groupBy("no").agg(F.first("text").alias("text"))
-    texts = stable(texts)
+    given = keyed.join(wanted.select("text_key", "no"), "text_key").groupBy("no").agg(F.first("text").alias("text"))
+    texts = stable(map_rows(given, lambda part: {
+        "no": part["no"], "runs": [labelled_runs(text).tobytes() for text in part["text"]]
+    }, "no long, runs binary"))
     links = stable(_verify(pairs, texts, least))
     roots = stable(components(links.select(F.col("centre").alias("a"), F.col("member").alias("b"))))
-    tried = pairs.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
-    for first in (True, False):  # the most likely pair of each text, then whatever is likely and still not linked
-        likely = _likely(_unlinked(grouped, roots, known), least, first)
-        likely = stable(likely.join(tried.distinct(), ["centre", "member"], "left_anti"))
-        more = stable(_verify(likely, texts, least))
+    for whole in (False, True):  # each member in one block of its group, then against all of its group
+        more = stable(_blocks(_unlinked(grouped, roots), texts, least, whole))
         if not more.isEmpty():
-            links = more.select(F.col("centre").alias("a"), F.col("member").alias("b"))
-            roots = stable(components(links.unionAll(roots.select("node", "root"))))  # the classes so far are stars
-        tried = tried.unionAll(likely)
+            roots = stable(components(more.unionAll(roots.select("node", "root"))))  # the classes so far are stars
     return roots
 
 
