@@ -10,8 +10,8 @@ For the walk, vectors get one more component that makes their lengths equal, so
 nearest point. Unrelated vectors of 64 components have neighbours hardly nearer than other rows; the effort is set so
 that nine of ten true neighbours are found even there (see the README for measured recall).
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than
-most, or rows without an id. Rows that share an id are rows of their own; a query leaves out its own row only. Equal
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id. Vectors of
+each length (number of components) have a forest of their own; trees see them scaled by a power of two. Rows that share an id are rows of their own; a query leaves out its own row only. Equal
 products rank by the smaller id. Other columns are not read. An empty table gives no rows.
 """
 
@@ -20,13 +20,14 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.llm.vectors import common_size, groups, matrix, usable
+from anchorline.llm.vectors import groups, lengths, matrix, usable
 from anchorline.session import small_table, stable
 
 ROW_BLOCK, QUERY_BLOCK = 2048, 4096
@@ -111,19 +112,29 @@ def nearest(
     kind = df.schema[id_col].dataType.simpleString()
     given = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"),
                       queries.alias("asks")).where(usable("vector") & F.col("id").isNotNull())
-    size = common_size(given, "vector")
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    rows = stable(
-        given.where(F.size("vector") == size).withColumn("square", square)
-        .withColumn("no", F.monotonically_increasing_id())
-    )
+    parts = [
+        _searched(given.where(F.size("vector") == size), kind, k, trees, leaves, effort, fewest, sample)
+        for size in lengths(given, "vector")
+    ]
+    if not parts:
+        return df.sparkSession.createDataFrame([], f"query_id {kind}, rank int, id {kind}, score double")
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _searched(
+    given: DataFrame, kind: str, k: int, trees: int, leaves: int, effort: float, fewest: int, sample: int
+) -> DataFrame:
+    """`nearest` for vectors (id, vector, asks) of one length."""
+    spark = given.sparkSession
+    most = given.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0]
+    power = max(-1000, min(1000, int(np.frexp(most)[1])))  # the trees see vectors scaled by this power of two
+    scaled = lambda x: x * F.lit(2.0 ** -power)
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + scaled(x) * scaled(x))
+    rows = stable(given.withColumn("square", square).withColumn("no", F.monotonically_increasing_id()))
     count, longest = rows.agg(F.count("*"), F.max("square")).first()
-    schema = f"query_id {kind}, rank int, id {kind}, score double"
-    if not count:
-        return df.sparkSession.createDataFrame([], schema)
 
     def lifted(points: np.ndarray, squares: np.ndarray) -> np.ndarray:
-        return np.c_[points, np.sqrt(np.maximum(longest - squares, 0))]
+        return np.c_[np.ldexp(points, -power), np.sqrt(np.maximum(longest - squares, 0))]
 
     drawn = rows.orderBy(F.xxhash64("no")).limit(sample).select("vector", "square").collect()
     points = lifted(np.array([r[0] for r in drawn]), np.array([r[1] for r in drawn]))
@@ -151,7 +162,7 @@ def nearest(
     def walked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             if part.num_rows:
-                at = np.c_[matrix(part["vector"]), np.zeros(part.num_rows)]  # a query's own length does not matter
+                at = np.c_[np.ldexp(matrix(part["vector"]), -power), np.zeros(part.num_rows)]  # a query's own length does not matter
                 sides = [at @ t.directions.T - t.cuts for t in forest]
                 found = [visited(forest, held, [s[i] for s in sides], goal) for i in range(len(at))]
                 yield pa.RecordBatch.from_pydict({"no": part["no"], "leaves": pa.array(found, pa.list_(pa.int64()))})
@@ -166,7 +177,7 @@ def nearest(
         (leaf, -(-n // ROW_BLOCK), -(-asked[leaf] // QUERY_BLOCK))
         for leaf, n in enumerate(held.tolist()) if n and leaf in asked
     ]
-    blocks = small_table(df.sparkSession, sizes, "leaf long, row_blocks int, query_blocks int")
+    blocks = small_table(spark, sizes, "leaf long, row_blocks int, query_blocks int")
 
     def dealt(side: DataFrame, own: str, other: str, asking: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("no"), F.col(own)).cast("int").alias(own)

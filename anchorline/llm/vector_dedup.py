@@ -10,8 +10,8 @@ the first one.
 Equal vectors are one class and are compared once; each is linked with all its copies. A block gives, for each of
 its vectors, the number of links and one link towards each linked group, never all pairs.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing; so do vectors of another length
-than most. Each row is counted by itself, also among rows of one id; null ids come last when a smallest id
+Vectors that are null, zero, or hold null or non-finite components link with nothing. Vectors of each length (number of
+components) are compared among themselves; very large and very small components are scaled first. Each row is counted by itself, also among rows of one id; null ids come last when a smallest id
 is sought. Other columns are not read. An empty table gives no rows.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from anchorline.llm.graph import components
 from anchorline.llm.near_dedup import mix
-from anchorline.llm.vectors import common_size, groups, matrix, usable
+from anchorline.llm.vectors import groups, lengths, matrix, unit, usable
 from anchorline.session import stable
 
 STEP = 2.0
@@ -49,11 +50,11 @@ def layout(rows: int, least: float) -> tuple[int, int]:
 
 
 def _local_links(
-    unit: np.ndarray, keys: np.ndarray, no: np.ndarray, copies: np.ndarray, own: np.ndarray, table: int, within: bool,
+    rows: np.ndarray, keys: np.ndarray, no: np.ndarray, copies: np.ndarray, own: np.ndarray, table: int, within: bool,
     least: float,
 ) -> tuple[np.ndarray, np.ndarray]:
     """For each vector of a block: links that are counted here, and the smallest number it is linked with."""
-    linked = unit @ unit.T >= least
+    linked = rows @ rows.T >= least
     linked &= ~np.eye(len(no), dtype=bool) if within else own[:, None] != own[None, :]
     a, b = np.nonzero(linked)
     first = ~(keys[a, :table] == keys[b, :table]).any(axis=1)
@@ -70,9 +71,22 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """One row for each row of `df`: (id, n_links, component_id, kept)."""
     given = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
     good = given.where(usable("vector"))
-    size = common_size(good, "vector")
+    parts = [_linked(good.where(F.size("vector") == size), size, least) for size in lengths(good, "vector")]
+    if not parts:
+        parts = [good.select("vector", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))]
+    told = reduce(DataFrame.unionAll, parts)
+    same = given.join(told.withColumnRenamed("vector", "__v"), F.col("vector") == F.col("__v"), "left")
+    component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component"))
+    return same.select(
+        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.col("id").eqNullSafe(component).alias("kept"),
+    )
+
+
+def _linked(good: DataFrame, size: int, least: float) -> DataFrame:
+    """(vector, n_links, component) of the different vectors of one length."""
     classes = stable(
-        good.where(F.size("vector") == size).groupBy("vector")
+        good.groupBy("vector")
         .agg(F.count("*").alias("copies"), F.min("id").alias("first_id"))
         .withColumn("no", F.monotonically_increasing_id())
     )
@@ -86,10 +100,8 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         for part in parts:
             if not part.num_rows:
                 continue
-            unit = matrix(part["vector"])
-            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-            steps = np.floor((unit @ directions + shifts) / STEP).astype(np.int64).view(np.uint64)
-            keys = np.broadcast_to(seeds, (len(unit), tables)).copy()
+            steps = np.floor((unit(matrix(part["vector"])) @ directions + shifts) / STEP).astype(np.int64).view(np.uint64)
+            keys = np.broadcast_to(seeds, (len(steps), tables)).copy()
             for bit in range(bits):
                 keys = mix(keys + steps[:, bit::bits])
             lists = pa.ListArray.from_arrays(
@@ -113,11 +125,9 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(parts, "block"):
-            unit = matrix(part["vector"])
-            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
             column = lambda name: part[name].to_numpy(zero_copy_only=False)  # noqa: B023, E731
             count, root = _local_links(
-                unit, matrix_of_keys(part["keys"]), column("no"), column("copies"), column("own"),
+                unit(matrix(part["vector"])), matrix_of_keys(part["keys"]), column("no"), column("copies"), column("own"),
                 part["place"][0].as_py(), part["within"][0].as_py(), least,
             )
             some = np.nonzero((count > 0) | (root != column("no")))[0]
@@ -132,13 +142,7 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         F.coalesce("root", "no").alias("root"),
     )
     names = told.groupBy("root").agg(F.min("first_id").alias("component"))
-    told = told.join(names, "root").select("vector", "n_links", "component")
-    same = given.join(told.withColumnRenamed("vector", "__v"), F.col("vector") == F.col("__v"), "left")
-    component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component"))
-    return same.select(
-        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
-    )
+    return told.join(names, "root").select("vector", "n_links", "component")
 
 
 def matrix_of_keys(column: pa.Array) -> np.ndarray:

@@ -17,10 +17,16 @@ def usable(column: str) -> Column:
     return F.coalesce(v.isNotNull() & F.forall(v, finite) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def common_size(df: DataFrame, column: str) -> int:
-    """The length that most vectors have, the smaller one among equals; 0 without vectors."""
-    sizes = df.groupBy(F.size(column).alias("size")).count().orderBy(F.desc("count"), "size").first()
-    return sizes["size"] if sizes else 0
+def lengths(df: DataFrame, column: str) -> list[int]:
+    """The lengths that vectors have, a few numbers; vectors of different lengths are never compared."""
+    return sorted(r[0] for r in df.select(F.size(column)).distinct().collect())
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, by a power of two first, so that squares neither overflow nor vanish."""
+    _, exponent = np.frexp(np.abs(rows).max(axis=1, keepdims=True, initial=0))
+    rows = np.ldexp(rows, -exponent)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -108,3 +108,31 @@ def test_the_dedup_query_equals_all_pairs(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").orderBy("vec_id").collect()]
     got = QUERIES["op8_vector_dedup"](spark, FOLDER).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
+
+
+#: Vectors of a rarer length, and of very large and very small components.
+ODD = [
+    (800, [1.0, 0.01]), (801, [1.0, 0.0]), (802, [0.0, 3.0]), (803, [1e200, 0.0, 1e200]), (804, [2e200, 1e190, 2e200]),
+    (805, [1e-200, 0.0, 3e-200]), (806, [1.01e-200, 0.0, 3e-200]), (807, [1.0, 2.0, 3.0]), (808, [2.0, 4.0, 6.0]),
+    (809, [5.0]), (810, [-7.0]), (811, [9.0]),
+]
+
+
+def test_vectors_of_all_lengths_and_magnitudes_are_linked(spark):
+    got = vector_dedup.link_vectors(spark.createDataFrame(ODD, "vec_id long, embedding array<double>")).collect()
+    want = {800: (1, 800), 801: (1, 800), 802: (0, 802), 803: (1, 803), 804: (1, 803), 805: (1, 805), 806: (1, 805),
+            807: (1, 807), 808: (1, 807), 809: (1, 809), 810: (0, 810), 811: (1, 809)}
+    assert {r.id: (r.n_links, r.component_id) for r in got} == want
+
+
+def test_vectors_of_all_lengths_ask_and_answer(spark):
+    rows = [(i, v) for i, v in ODD if max(map(abs, v)) < 1e100]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 1 == 0, k=20).collect()
+    want = {}
+    for i, v in rows:
+        same = [(-float(np.dot(v, w)), j) for j, w in rows if j != i and len(w) == len(v)]
+        want |= {(i, rank, j): pytest.approx(-less, rel=1e-12) for rank, (less, j) in enumerate(sorted(same), 1)}
+    assert {(r.query_id, r.rank, r.id): r.score for r in got} == want
+    huge = spark.createDataFrame([(20, [1e200, 1.0]), (21, [1.0, 1e200]), (22, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert len(ann.nearest(huge, F.col("vec_id") == 20, k=20).collect()) == 2
