@@ -109,3 +109,32 @@ def test_query(spark):
     assert len(got) == len(docs)
     same = {r.doc_id: r.text_sha256 for r in got if not r.n_deleted}
     assert all(hashlib.sha256((t or "").encode()).hexdigest() == same[d] for d, t in docs if d in same)
+
+
+def test_extension_and_what_is_left_to_the_second_join():
+    lines = ["a b c d", "e f g h", "i j k l", "m n o p", "q r s t"]
+    found = {at: rest for at, *rest in L.text_fingerprints("\n".join(lines), 10)}
+    _, hashes, words = L.line_hashes("\n".join(lines))
+    assert set(found) == set(L.fingerprints(hashes, words, 10)) | {
+        4 - at for at in L.fingerprints(hashes[::-1], words[::-1], 10)
+    }
+    for at, (own, before, after, windows) in found.items():
+        assert own == hashes[at]
+        held, rest = L.extended(before, after, before, after, windows)
+        assert rest == [] and held == (len(before) // L.SIZE, len(after) // L.SIZE)
+        held, rest = L.extended(before, after, b"", b"", windows)
+        assert held is None and rest == windows  # each window has three lines
+    assert sum(len(w) for *_, w in found.values()) == 3
+    assert L.in_common(b"", b"x" * L.SIZE) == 0
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_few_short_lines_in_any_order(spark, seed):
+    rnd = random.Random(seed)
+    pool = [" ".join(f"w{i}" for _ in range(n)) for i, n in enumerate([1, 1, 2, 3, 5, 11])]
+    docs = [
+        (None if i == 0 else i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14))) or None) for i in range(25)
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: lines_of(r.text) for r in L.drop_repeated_lines(df).collect()}
+    assert got == lines_left([*docs[1:], docs[0]], 10)  # a null id comes last
