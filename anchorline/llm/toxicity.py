@@ -5,8 +5,10 @@ unlabelled text. With class prior p the risk is p * R_pos(+) + max(0, R_unl(-) -
 corrected negative part is below zero, the step goes against it, so the classifier cannot explain the positives
 hidden in the unlabelled text away.
 
-Training reads a bounded sample (`max_positives`, `max_unlabelled` texts, the first by a hash of the id); scoring
-reads every whole text. Ids, languages and sources are never read by a score.
+The steps of the training read a bounded sample (`max_positives`, `max_unlabelled` texts, the first by a hash of the
+id). The shares of features among unlabelled text and the bias, which makes the mean score of unlabelled text equal
+the prior, are counted over all texts given. Scoring reads every whole text. Ids, languages and sources are never
+read by a score.
 
 Null and empty texts score sigmoid(bias), as a text without any known feature does. Repeated rows get equal
 scores. Labels that are null, or are given twice with different values, confirm nothing unless one of them is
@@ -17,10 +19,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,33 +50,46 @@ def text_features(text: str) -> set[str]:
     return features_of({w for chunk in set(text.lower().split()) for w in TOKEN.findall(chunk)})
 
 
+def finder(wanted: Collection[str]) -> Callable[[str], list[str]]:
+    """The wanted features of a text, sorted. Most words touch none; what a chunk of text contributes is remembered."""
+    wanted = frozenset(wanted)
+    heads = {f[:f.index("*")] for f in wanted if "*" in f}
+    known: dict[str, tuple[str, ...]] = {}
+
+    def find(text: str) -> list[str]:
+        if len(known) > 400_000:
+            known.clear()
+        found: set[str] = set()
+        for chunk in set(text.lower().split()):
+            words = known.get(chunk)
+            if words is None:
+                words = known[chunk] = tuple(
+                    w for w in TOKEN.findall(chunk) if w in wanted or not heads.isdisjoint(word_heads(w))
+                )
+            if words:
+                found.update(words)
+        return sorted(features_of(found) & wanted)
+
+    return find
+
+
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
     bias: float
 
+    def summer(self) -> Callable[[str], float]:
+        """The sum of the weights of a text, without the bias."""
+        find, weights = finder(self.weights), self.weights
+        return lambda text: float(sum(weights[f] for f in find(text)))
+
     def scorer(self) -> Callable[[list[str]], np.ndarray]:
-        """Scores of texts. Most words touch no weight; what a chunk of text contributes is remembered."""
-        heads = {f[:f.index("*")] for f in self.weights if "*" in f}
-        known: dict[str, tuple[str, ...]] = {}
+        """Scores of texts."""
+        plain = self.summer()
 
         def score(texts: list[str]) -> np.ndarray:
-            if len(known) > 400_000:
-                known.clear()
-            sums = np.full(len(texts), self.bias)
-            for i, text in enumerate(texts):
-                found: set[str] = set()
-                for chunk in set(text.lower().split()):
-                    words = known.get(chunk)
-                    if words is None:
-                        words = known[chunk] = tuple(
-                            w for w in TOKEN.findall(chunk) if w in self.weights or not heads.isdisjoint(word_heads(w))
-                        )
-                    if words:
-                        found.update(words)
-                sums[i] += sum(self.weights[f] for f in sorted(features_of(found)) if f in self.weights)
             with np.errstate(over="ignore"):
-                return 1 / (1 + np.exp(-sums))
+                return 1 / (1 + np.exp(-self.bias - np.array([plain(t) for t in texts], float)))
 
         return score
 
@@ -83,7 +99,7 @@ def fit_nnpu(
     steps: int = 800, rate: float = 0.03, decay: float = 2e-5,
 ) -> tuple[np.ndarray, float]:
     """Weights of a linear logistic classifier that minimises the non-negative risk, by Adam, and the bias that
-    makes the mean score of unlabelled text equal the class prior."""
+    makes the mean score of the unlabelled texts given equal the class prior."""
     def packed(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, int]:
         row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         return row, np.array([f for t in texts for f in t], np.int64), len(texts)
@@ -114,13 +130,51 @@ def fit_nnpu(
     return w, float(b)
 
 
+def shares_of(texts: DataFrame, wanted: list[str]) -> tuple[dict[str, int], int]:
+    """In how many of all `texts` each wanted feature occurs, and how many texts there are. A task hands on one row
+    for each wanted feature."""
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, seen, rows = finder(wanted), Counter(), 0
+        for part in parts:
+            for text in part.column("text").to_pylist():
+                seen.update(find(text))
+                rows += 1
+        yield pa.RecordBatch.from_pydict({
+            "feature": pa.array([None, *seen], pa.string()), "n": pa.array([rows, *seen.values()], pa.int64())
+        })
+
+    found = texts.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n"))
+    totals = dict(found.collect())  # one row for each wanted feature
+    return {f: totals.get(f, 0) for f in wanted}, totals.get(None, 0)
+
+
+def bias_over(texts: DataFrame, weights: dict[str, float], prior: float) -> float:
+    """The bias with which the mean score of all `texts` is the prior, to a millionth."""
+    summer = None
+
+    def rows(part: dict[str, list]) -> dict[str, list]:
+        nonlocal summer
+        summer = summer or Model(weights, 0.0).summer()
+        return {"plain": [summer(t) for t in part["text"]]}
+
+    sums = stable(map_rows(texts.select("text"), rows, "plain double"))
+    low, high, parts = -50.0, 50.0, 64
+    while high - low > 1e-6:
+        tried = [low + (high - low) * i / parts for i in range(1, parts)]
+        means = sums.agg(*(F.avg(1 / (1 + F.exp(-F.col("plain") - b))) for b in tried)).first()
+        below = sum(m <= prior for m in means)  # the mean grows with the bias
+        low, high = [low, *tried][below], [*tried, high][below]
+    return (low + high) / 2
+
+
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     max_positives: int = 2000, max_unlabelled: int = 8000, features: int = 1500,
 ) -> Model:
     """Train on `docs`; rows whose label is 1 are the confirmed examples. The prior is the share of them among
     the labelled rows, which have to be drawn like the documents. Features are those that at least three times
-    the share of examples has, the clearest ones first, measured in standard errors."""
+    the share of examples has, compared with all rows of `docs`, the clearest ones first, measured in standard
+    errors. What the driver holds is bounded by the sample."""
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
@@ -150,16 +204,20 @@ def train(
     n_pos, n_unl = counted.agg(F.sum("kind"), F.sum(1 - F.col("kind"))).first()
     if not n_pos or not n_unl:
         return Model({}, float("-inf"))
-    shares = (
-        counted.select("kind", F.explode("features").alias("feature")).groupBy("feature")
-        .agg(F.sum("kind").alias("a"), F.sum(1 - F.col("kind")).alias("b")).where("a + b >= 3")
-        .withColumn("p", F.col("a") / n_pos).withColumn("u", F.col("b") / n_unl)
-    )
-    variance = lambda share, n: (F.col(share) * (1 - F.col(share)) + 1 / n) / n
-    spread = F.sqrt(variance("p", n_pos) + variance("u", n_unl))
-    strength = F.abs(F.col("p") - F.col("u")) / spread
-    best = shares.where((strength >= 3) & F.expr("p >= 3 * u")).orderBy(strength.desc(), "feature").limit(features)
-    chosen = [r[0] for r in best.select("feature").collect()]
+    variance = lambda share, n: (share * (1 - share) + 1 / n) / n
+    a_of = {r[0]: r[1] for r in (
+        counted.where("kind = 1").select(F.explode("features").alias("feature")).groupBy("feature")
+        .agg(F.count("*").alias("a"))
+        .where(F.col("a") / n_pos >= 3 * F.sqrt(variance(F.col("a") / n_pos, n_pos)))  # clear if no other text has it
+    ).collect()}
+    b_of, n_all = shares_of(texts, sorted(a_of))
+    strength = {}
+    for feature, a in a_of.items():
+        p, u = a / n_pos, b_of[feature] / n_all
+        clear = (p - u) / (variance(p, n_pos) + variance(u, n_all)) ** 0.5
+        if clear >= 3 and p >= 3 * u:
+            strength[feature] = clear
+    chosen = sorted(strength, key=lambda f: (-strength[f], f))[:features]
     place = {f: i for i, f in enumerate(chosen)}
     wanted = counted.sparkSession.createDataFrame([(f,) for f in chosen], "feature string")
     used = (  # the places of a text's chosen features, no words
@@ -168,8 +226,9 @@ def train(
         .groupBy("no", "kind").agg(F.collect_set("hit").alias("hits")).orderBy("no").collect()
     )
     columns = lambda kind: [sorted(place[f] for f in r["hits"]) for r in used if r["kind"] == kind]
-    weights, bias = fit_nnpu(columns(1), columns(0), len(chosen), prior)
-    return Model(dict(zip(chosen, weights.tolist(), strict=True)), bias)
+    fitted, _ = fit_nnpu(columns(1), columns(0), len(chosen), prior)
+    weights = dict(zip(chosen, fitted.tolist(), strict=True))
+    return Model(weights, bias_over(texts, weights, prior))
 
 
 def score(

@@ -72,3 +72,28 @@ def test_held_out_accuracy_of_the_query(spark):
     toxic = [got[r.doc_id].predicted for r in held if r.toxic == 1]
     clean = [got[r.doc_id].predicted for r in held if r.toxic == 0]
     assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.02
+
+
+def test_shares_and_bias_cover_all_texts(spark):
+    docs, labels = corpus(spark, 300)
+    texts = docs.unionAll(docs.where("doc_id < 50")).select("doc_id", X.text_of().alias("text")).repartition(5)
+    all_texts = [r.text for r in texts.collect()]
+    wanted = ["scum", "idio*1", "clow*1", "w1q", "nowhere"]
+    plain = {f: sum(f in X.text_features(t) for t in all_texts) for f in wanted}
+    assert X.shares_of(texts, wanted) == (plain, 350)
+    assert X.shares_of(texts.limit(0), wanted)[0] == dict.fromkeys(wanted, 0)
+    weights = {"scum": 2.0, "clow*1": 1.5}
+    bias = X.bias_over(texts, weights, 0.2)
+    assert abs(X.Model(weights, bias).scorer()(all_texts).mean() - 0.2) < 1e-6
+    model = X.train(docs, labels, max_unlabelled=40)  # few texts for the steps, all for the bias
+    prior = np.mean([r.toxic for r in labels.collect()])
+    assert abs(model.scorer()([r.text for r in docs.collect()]).mean() - prior) < 1e-6
+
+
+def test_a_search_for_features_equals_the_features_of_the_text():
+    rnd = random.Random(9)
+    words = ["Scum,", "clownish", "clowning", "idiots", "x-ray", "naïve", "a", "12", "STUPIDEST"]
+    for _ in range(200):
+        text = " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12)))
+        wanted = set(rnd.sample(sorted(X.text_features(" ".join(words))), 6))
+        assert X.finder(wanted)(text) == sorted(X.text_features(text) & wanted)
