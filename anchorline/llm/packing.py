@@ -4,8 +4,9 @@ A document is its token ids and one closing id. Full windows are cut from its st
 a window. The remainders are packed by their lengths alone, of which there are fewer than the window has tokens:
 for the longest length left, a bitset over the sums that the other lengths can reach gives the multiset closest to
 the window, and the window's counts are read back from the bitsets. The same multiset fills as many windows as the
-counts allow. Lengths that no multiset completes are laid end to end and cut at the window's edges; the last stretch
-is cut into powers of two, which need no padding. So no sequence is padded.
+counts allow. Where the closest multiset leaves slack, everything left is longer than the slack: the most frequent
+length left gives one piece of just that size to each such window, and what stays of it is a shorter remainder for later
+windows. The last window is cut into powers of two, which need no padding. So no sequence is padded.
 
 Only the table of lengths and counts (fewer rows than the window has tokens) reaches the driver. Remainders are
 numbered within their length by blocks of a thousand rows, so one very frequent length is no task of its own.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -57,92 +58,131 @@ def closest_fill(counts: dict[int, int], room: int) -> dict[int, int]:
     return used
 
 
+@dataclass
+class Use:
+    """Where pieces of `size` tokens, `start` tokens into remainders of one `length`, go: those of the `count` remainders
+    from index `first` on are numbered from `nth`, and `per` of them follow each other in each window."""
+
+    length: int
+    first: int
+    count: int
+    start: int
+    size: int
+    nth: int
+    per: int
+    sequence: int
+    offset: int
+
+
 @dataclass
 class Plan:
-    """Where the remainders of each length go. `uses` has, for each run of remainders of one length (first index,
-    number in each window, first window, first offset); `stream` the first index and first place of those that
-    are laid end to end; windows from `stream_base` on hold the stream of `stream_length` tokens."""
-
-    window: int
-    uses: dict[int, list[tuple[int, int, int, int]]] = field(default_factory=dict)
-    stream: dict[int, tuple[int, int]] = field(default_factory=dict)
-    stream_base: int = 0
-    stream_length: int = 0
-
-    def cuts(self) -> list[int]:
-        """Ends of the sequences in the last, incomplete window of the stream, from its start."""
-        left, at, out = self.stream_length % self.window, 0, []
-        for power in range(left.bit_length() - 1, -1, -1):
-            if left >> power & 1:
-                at += 1 << power
-                out.append(at)
-        return out
+    """Where the remainders of each length go, and how many sequences they fill."""
+
+    uses: list[Use] = field(default_factory=list)
+    sequences: int = 0
+
+    def cut(self) -> int:
+        """Tokens of remainders that are in pieces."""
+        return sum(u.count * u.size for u in self.uses if u.size < u.length)
+
+
+class Pool:
+    """What is not placed yet: by length, runs (length of the remainders, first index, how many, start within them)."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.left = {n: c for n, c in counts.items() if c}
+        self.runs = {n: [(n, 0, c, 0)] for n, c in self.left.items()}
+
+    def take(self, length: int, count: int) -> Iterator[tuple[int, int, int, int]]:
+        """Runs of together `count` rests of this length, which leave the pool."""
+        self.left[length] -= count
+        runs = self.runs[length]
+        while count:
+            origin, first, many, start = runs.pop()
+            used = min(many, count)
+            if used < many:
+                runs.append((origin, first + used, many - used, start))
+            count -= used
+            yield origin, first, used, start
+
+    def give(self, length: int, origin: int, first: int, count: int, start: int) -> None:
+        self.left[length] = self.left.get(length, 0) + count
+        self.runs.setdefault(length, []).append((origin, first, count, start))
 
 
 def plan_windows(counts: dict[int, int], window: int) -> Plan:
     """Minimum bin slack over lengths below `window` and their counts."""
-    left = {n: c for n, c in counts.items() if c}
-    plan, used_up, sequence, rest = Plan(window), dict.fromkeys(left, 0), 0, {}
-    for longest in sorted(left, reverse=True):
-        while left[longest]:
-            left[longest] -= 1
-            fill = closest_fill({n: c for n, c in left.items() if n <= longest}, window - longest)
-            left[longest] += 1
-            if sum(n * c for n, c in fill.items()) + longest < window:
-                rest[longest] = left[longest]
-                break
-            fill[longest] = fill.get(longest, 0) + 1
-            repeat = min(left[n] // c for n, c in fill.items())
-            offset = 0
-            for n in sorted(fill, reverse=True):
-                plan.uses.setdefault(n, []).append((used_up[n], fill[n], sequence, offset))
-                offset += n * fill[n]
-                used_up[n] += fill[n] * repeat
-                left[n] -= fill[n] * repeat
-            sequence += repeat
-        left[longest] = 0
-    plan.stream_base, place = sequence, 0
-    for n in sorted(rest, reverse=True):
-        plan.stream[n] = (used_up[n], place)
-        place += n * rest[n]
-    plan.stream_length = place
+    pool, plan = Pool(counts), Plan()
+    while sum(n * c for n, c in pool.left.items()) >= window:
+        longest = max(n for n, c in pool.left.items() if c)
+        pool.left[longest] -= 1
+        fill = closest_fill(pool.left, window - longest)
+        pool.left[longest] += 1
+        fill[longest] = fill.get(longest, 0) + 1
+        slack = window - sum(n * c for n, c in fill.items())
+        needs = dict(fill)
+        if slack:
+            giver = max((n for n, c in pool.left.items() if c > fill.get(n, 0)), key=lambda n: (pool.left[n] - fill.get(n, 0), n))
+            needs[giver] = needs.get(giver, 0) + 1
+        repeat = min(pool.left[n] // c for n, c in needs.items())
+        offset = 0
+        for n in sorted(fill, reverse=True):
+            nth = 0
+            for origin, first, many, start in pool.take(n, fill[n] * repeat):
+                plan.uses.append(Use(origin, first, many, start, n, nth, fill[n], plan.sequences, offset))
+                nth += many
+            offset += n * fill[n]
+        if slack:
+            nth = 0
+            for origin, first, many, start in list(pool.take(giver, repeat)):
+                plan.uses.append(Use(origin, first, many, start, slack, nth, 1, plan.sequences, offset))
+                pool.give(giver - slack, origin, first, many, start + slack)
+                nth += many
+        plan.sequences += repeat
+    _place_last(pool, plan)
     return plan
 
 
-def place_items(plan: Plan, length: np.ndarray, index: np.ndarray) -> list[np.ndarray]:
-    """For remainders of given length and index: (row, start within it, length, sequence, offset) of each piece."""
-    keys, per, seq, off, item, streamed = [], [], [], [], [], []
-    for n, uses in plan.uses.items():
-        for first, count, sequence, offset in uses:
-            keys.append(n << 40 | first), per.append(count), seq.append(sequence), off.append(offset)
-            item.append(n), streamed.append(False)
-    for n, (first, place) in plan.stream.items():
-        keys.append(n << 40 | first), per.append(1), seq.append(0), off.append(place)
-        item.append(n), streamed.append(True)
-    order = np.argsort(np.array(keys, np.int64))
-    keys, per, seq, off, item, streamed = (np.array(x)[order] for x in (keys, per, seq, off, item, streamed))
-    use = np.searchsorted(keys, length << 40 | index, side="right") - 1
-    nth = index - (keys[use] & (1 << 40) - 1)
-    rows = np.arange(len(length))
-    whole = ~streamed[use]
-    w = use[whole]
-    out = [[rows[whole], np.zeros(whole.sum(), np.int64), length[whole], seq[w] + nth[whole] // per[w],
-            off[w] + nth[whole] % per[w] * length[whole]]]
-    tail = plan.stream_length // plan.window * plan.window
-    ends = tail + np.array(plan.cuts(), np.int64)
-    for row in rows[~whole].tolist():
-        at, left, start = int(off[use[row]] + nth[row] * length[row]), int(length[row]), 0
-        while left:
-            if at < tail:
-                sequence, begin = at // plan.window, at // plan.window * plan.window
-                end = begin + plan.window
-            else:
-                k = int(np.searchsorted(ends, at, side="right"))
-                sequence, begin, end = tail // plan.window + k, int(ends[k - 1]) if k else tail, int(ends[k])
-            take = min(left, end - at)
-            out.append([[row], [start], [take], [plan.stream_base + sequence], [at - begin]])
-            at, left, start = at + take, left - take, start + take
-    return [np.concatenate([np.asarray(o[i], np.int64) for o in out]) for i in range(5)]
+def _place_last(pool: Pool, plan: Plan) -> None:
+    """Lay what is left, less than a window, end to end in sequences whose sizes are powers of two."""
+    total = sum(n * c for n, c in pool.left.items())
+    sizes = [1 << p for p in range(total.bit_length() - 1, -1, -1) if total >> p & 1]
+    at = 0
+    for n in sorted(pool.left, reverse=True):
+        for origin, first, many, start in pool.take(n, pool.left[n]):
+            for index in range(first, first + many):
+                done = 0
+                while done < n:
+                    size = min(n - done, sizes[0] - at)
+                    plan.uses.append(Use(origin, index, 1, start + done, size, 0, 1, plan.sequences, at))
+                    done, at = done + size, at + size
+                    if at == sizes[0]:
+                        plan.sequences, at = plan.sequences + 1, 0
+                        sizes.pop(0)
+
+
+def placer(plan: Plan) -> Callable[[np.ndarray, np.ndarray], list[np.ndarray]]:
+    """A function that gives, for remainders of given length and index, (row, start within it, length, sequence,
+    offset) of each piece."""
+    uses = sorted(plan.uses, key=lambda u: (u.length, u.start, u.first))
+    value = {name: np.array([getattr(u, name) for u in uses], np.int64) for name in Use.__dataclass_fields__}
+    widest = int(value["length"].max(initial=0)) + 1
+    groups, group = np.unique(value["length"] * widest + value["start"], return_inverse=True)
+    keys = group << 40 | value["first"]
+
+    def place(length: np.ndarray, index: np.ndarray) -> list[np.ndarray]:
+        rows, start, out = np.arange(len(length)), np.zeros(len(length), np.int64), []
+        while len(rows):  # once for each piece of the remainder cut most often
+            here = np.searchsorted(groups, length[rows] * widest + start)
+            use = np.searchsorted(keys, here << 40 | index[rows], side="right") - 1
+            size, per = value["size"][use], value["per"][use]
+            nth = value["nth"][use] + index[rows] - value["first"][use]
+            out.append([rows, start, size, value["sequence"][use] + nth // per, value["offset"][use] + nth % per * size])
+            more = start + size < length[rows]
+            rows, start = rows[more], (start + size)[more]
+        return [np.concatenate([o[i] for o in out] or [np.zeros(0, np.int64)]) for i in range(5)]
+
+    return place
 
 
 def tokenise(docs: DataFrame, path: str, window: int, id_col: str, text_col: str, closing: int) -> DataFrame:
@@ -188,12 +228,13 @@ def pack(
     kind = pieces.schema["doc_id"].dataType.simpleString()
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place_items = placer(plan)
         for part in parts:
             if not part.num_rows:
                 continue
             column = lambda name: part.column(name).to_numpy(zero_copy_only=False)
             length = column("length")
-            row, start, size, sequence, offset = place_items(plan, length, column("index"))
+            row, start, size, sequence, offset = place_items(length, column("index"))
             whole = pa.array(size == length[row])
             crc = pa.compute.if_else(whole, part.column("ids_crc32").take(pa.array(row)), pa.scalar(None, pa.int64()))
             yield pa.RecordBatch.from_pydict({
@@ -208,11 +249,10 @@ def pack(
     )
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     placed = numbered.mapInArrow(place, schema)
-    windows = plan.stream_base + plan.stream_length // window + len(plan.cuts())
     full = pieces.where(F.col("length") == window).withColumns({
-        "sequence_id": F.col("uid") + windows, "offset": F.lit(0).cast("long")
+        "sequence_id": F.col("uid") + plan.sequences, "offset": F.lit(0).cast("long")
     })
-    if not plan.stream:
+    if not plan.cut():
         return full.select(names).unionAll(placed.select(names))
     placed = stable(placed)
     ids = F.expr("substring(rest, cast(4 * skip + 1 as int), cast(4 * length as int))")

@@ -89,3 +89,46 @@ def test_closest_fill_equals_trying_all():
         fill = packing.closest_fill(counts, room)
         assert all(fill[n] <= counts[n] for n in fill)
         assert sum(n * c for n, c in fill.items()) == max(s for s in sums if s <= room)
+
+
+def placed(counts, window):
+    """Check where each remainder goes; the plan."""
+    plan = packing.plan_windows(counts, window)
+    length = np.array([n for n, c in counts.items() for _ in range(c)], np.int64)
+    index = np.array([i for c in counts.values() for i in range(c)], np.int64)
+    pieces, windows = {}, {}
+    for row, start, size, sequence, offset in zip(*packing.placer(plan)(length, index), strict=True):
+        pieces.setdefault(row, []).append((start, size))
+        windows.setdefault(sequence, []).append((offset, size))
+    assert set(pieces) == set(range(len(length))) and set(windows) == set(range(plan.sequences))
+    for total, found in [(length[r], p) for r, p in pieces.items()] + [(None, w) for w in windows.values()]:
+        at = 0
+        for begin, size in sorted(found):
+            assert begin == at and size > 0
+            at += size
+        assert at == total if total is not None else at == window or at & (at - 1) == 0
+    return plan
+
+
+def test_plans_place_each_token_once():
+    rnd = random.Random(5)
+    for _ in range(300):
+        placed({rnd.randint(1, 15): rnd.randint(0, 6) for _ in range(5)}, 16)
+    for counts in ({}, {600: 5000}, {1023: 900, 700: 3}, {n: rnd.randint(0, 3) for n in range(1, 1024)}):
+        placed(counts, 1024)
+
+
+def test_only_slack_is_cut():
+    assert placed({10: 3, 6: 3, 4: 4}, 16).cut() == 0  # 10 + 6 three times, and one window of fours
+    first = [(u.size, u.start, u.offset) for u in placed({10: 3}, 16).uses if u.sequence == 0]
+    assert first == [(10, 0, 0), (6, 0, 10)]  # a whole one, and six tokens of another to close the slack
+
+
+def test_closest_fills_hold_nearly_all_tokens(spark):
+    counts = {}
+    for ids in ids_of([r.text for r in documents(spark).collect()]):
+        rest = len(ids) % 1024
+        counts[rest] = counts.get(rest, 0) + bool(rest)
+    plan, total = placed(counts, 1024), sum(n * c for n, c in counts.items())
+    closing = sum(u.count * u.size for u in plan.uses if u.offset and u.start + u.size < u.length)
+    assert closing < 0.1 * total
