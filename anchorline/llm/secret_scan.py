@@ -1,9 +1,9 @@
 """Scan for secrets through a trigram inverted index, in DataFrame functions only.
 
 From each rule's regular expression a Boolean query over trigrams is derived: any match contains all trigrams of one
-of its alternatives. The index lists, for each trigram that a rule asks for, the texts that contain it. Postings of
-a text are intersected as bits, and only texts that satisfy a rule's query are searched with that rule. Rules without
-mandatory trigrams search every text.
+of its alternatives. The index lists, for each trigram that a rule asks for, the texts that contain it. The alternatives
+are joined with the postings by trigram, and the texts that are in all postings of one are the rule's candidates; only these
+are searched with that rule. Rules without mandatory trigrams search every text. Rules may be as many as one likes.
 
 Spans are found by splitting a text at the matches, so they are leftmost and non-overlapping for each rule; offsets
 count code points, ends are exclusive. A match that is too short is dropped but has used up its text.
@@ -17,15 +17,16 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorline.llm.common import text_of
 
 #: Alternatives of a query beyond this number are cut to shorter, weaker ones.
 MOST_STRINGS = 24
+#: An alternative of more trigrams asks for the first of them only, which lets more texts be searched, never fewer.
+MOST_GRAMS = 62
 
 
 @dataclass(frozen=True)
@@ -116,9 +117,8 @@ def trigram_query(rule: Rule) -> list[frozenset[str]]:
     return [q for q in dict.fromkeys(query) if not any(o < q for o in query)]
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """Array of (start, kind number, end) of the rule's matches in `text`."""
-    number = RULES.index(rule) if rule in RULES else len(RULES)
+def spans(text: Column, rule: Rule, number: int) -> Column:
+    """Array of (start, `number`, end) of the rule's matches in `text`."""
     pattern = F.lit(rule.regex())
     between = F.split(text, rule.regex(), -1)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -141,34 +141,44 @@ def spans(text: Column, rule: Rule) -> Column:
     return ends["out"]
 
 
-def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """`docs` with the column `spans`: array of (start, kind number, end), sorted."""
-    queries = {r: trigram_query(r) for r in rules}
-    trigrams = sorted({g for q in queries.values() for grams in q for g in grams})
-    if len(trigrams) > 63:
-        raise ValueError("too many trigrams for one index")
-    bits = {g: 1 << i for i, g in enumerate(trigrams)}
-    text, empty = text_of(text_col), F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    key = F.md5(F.encode(text, "UTF-8"))
-    listed = F.array(*[F.struct(F.lit(g).alias("gram"), F.lit(b).cast("long").alias("bit")) for g, b in bits.items()])
-    postings = (  # one row for each text and trigram that a rule asks for
-        docs.select(key.alias("__key"), F.lower(text).alias("__lower"))
-        .select("__key", F.explode(F.filter(listed, lambda x: F.contains("__lower", x["gram"]))).alias("posting"))
+def candidates(spark: SparkSession, texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(__key, __rules): the numbers of the rules whose trigram query a text (`__key`, `__text`) satisfies. Texts that
+    satisfy none are left out."""
+    terms = [
+        F.struct(F.lit(gram).alias("gram"), F.lit(no).alias("rule"), F.lit(nth).alias("alternative"),
+                 F.lit(1 << i).cast("long").alias("bit"), F.lit((1 << len(grams)) - 1).cast("long").alias("all"))
+        for no, rule in enumerate(rules) for nth, alternative in enumerate(trigram_query(rule))
+        for grams in [sorted(alternative)[:MOST_GRAMS]] for i, gram in enumerate(grams)
+    ]
+    if not terms:
+        return texts.select("__key", F.array().cast("array<int>").alias("__rules")).limit(0)
+    asked = spark.range(1).select(F.inline(F.array(*terms)))  # as large as the rules
+    grams = sorted({g for rule in rules for q in trigram_query(rule) for g in q})
+    postings = (
+        texts.select("__key", F.lower("__text").alias("__lower"))
+        .select("__key", F.explode(
+            F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains("__lower", g))
+        ).alias("gram"))
     )
-    found = postings.groupBy("__key").agg(F.bit_or("posting.bit").alias("__grams"))
+    met = (
+        postings.join(F.broadcast(asked), "gram").groupBy("__key", "rule", "alternative", "all")
+        .agg(F.bit_or("bit").alias("has")).where("has = all")
+    )
+    return met.groupBy("__key").agg(F.collect_set("rule").alias("__rules"))  # no more than there are rules
 
-    def wanted(rule: Rule) -> Column:
-        masks = [sum(bits[g] for g in grams) for grams in queries[rule]]
-        return reduce(Column.__or__, [F.col("__grams").bitwiseAND(F.lit(m)) == m for m in masks], F.lit(False))
 
-    searched = [r for r in rules if queries[r]]
-    candidates = found.where(reduce(Column.__or__, map(wanted, searched), F.lit(False)))
+def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """`docs` with the column `spans`: array of (start, number of the rule in `rules`, end), sorted."""
+    text, empty = text_of(text_col), F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    key = F.md5(F.encode(text, "UTF-8"))
+    found = candidates(docs.sparkSession, docs.select(key.alias("__key"), text.alias("__text")), rules)
     matches = [
-        F.when(wanted(r), spans(text, r)).otherwise(empty) if r in searched else spans(text, r) for r in rules
+        F.when(F.array_contains("__rules", no), spans(text, rule, no)).otherwise(empty) if trigram_query(rule)
+        else spans(text, rule, no) for no, rule in enumerate(rules)
     ]
     columns = [f"`{c}`" for c in docs.columns if c != "spans"]
     return (
-        docs.withColumn("__key", key).join(candidates, "__key", "left")
+        docs.withColumn("__key", key).join(found, "__key", "left")
         .withColumn("__spans", F.array_sort(F.concat(*matches)))
         .select(*columns, F.col("__spans").alias("spans"))
     )

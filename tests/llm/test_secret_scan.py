@@ -69,3 +69,23 @@ def test_the_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = S.redact(S.find_spans(df))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_candidates_are_the_intersections_of_postings(spark):
+    rules = (*S.RULES, S.Rule("long", "x" + "".join(chr(97 + i * 7 % 26) + chr(97 + i % 26) for i in range(60))))
+    df = spark.createDataFrame([(str(i), t or "") for i, t in enumerate(TEXTS)] * 2, "__key string, __text string")
+    got = {r["__key"]: set(r["__rules"]) for r in S.candidates(spark, df, rules).collect()}
+    for i, text in enumerate(TEXTS):
+        want = {
+            no for no, rule in enumerate(rules)
+            if any(all(g in (text or "").lower() for g in q) for q in S.trigram_query(rule))
+        }
+        assert got.get(str(i), set()) == want
+
+
+def test_many_rules(spark):
+    rules = tuple(S.Rule(f"k{i}", f"key{chr(97 + i % 26)}{chr(97 + i // 26)}[0-9]+", least=6) for i in range(80))
+    text = " ".join(f"key{chr(97 + i % 26)}{chr(97 + i // 26)}{i:04d}" for i in range(0, 80, 3))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = [r["spans"] for r in S.find_spans(df, rules).collect()][0]
+    assert [tuple(s) for s in found] == sorted((s, k, e) for k, r in enumerate(rules) for s, e in spans(text, r))
