@@ -7,7 +7,8 @@ hidden in the unlabelled text away.
 
 The steps of the training read a bounded sample (`max_positives`, `max_unlabelled` texts, the first by a hash of the
 id). The shares of features among unlabelled text and the bias, which makes the mean score of unlabelled text equal
-the prior, are counted over all texts given. Scoring reads every whole text. Ids, languages and sources are never
+the prior, are counted over all texts given; features that are too common in the drawn texts by six standard errors
+are given up before that count. Scoring reads every whole text. Ids, languages and sources are never
 read by a score.
 
 Null and empty texts score sigmoid(bias), as a text without any known feature does. Repeated rows get equal
@@ -34,6 +35,8 @@ TOKEN = re.compile(r"[^\W\d_]+")
 HEADS = (4, 5)
 #: A beginning counts once, twice or three times: by how many different words of the text have it.
 SEEN = 3
+#: A feature is not counted over all texts if the drawn ones show by so many standard errors that it is too common.
+SURE = 6.0
 
 
 def word_heads(word: str) -> list[str]:
@@ -205,10 +208,12 @@ def train(
     if not n_pos or not n_unl:
         return Model({}, float("-inf"))
     variance = lambda share, n: (share * (1 - share) + 1 / n) / n
+    a, b = F.col("a") / n_pos, F.col("b") / n_unl
     a_of = {r[0]: r[1] for r in (
-        counted.where("kind = 1").select(F.explode("features").alias("feature")).groupBy("feature")
-        .agg(F.count("*").alias("a"))
-        .where(F.col("a") / n_pos >= 3 * F.sqrt(variance(F.col("a") / n_pos, n_pos)))  # clear if no other text has it
+        counted.select("kind", F.explode("features").alias("feature")).groupBy("feature")
+        .agg(F.sum("kind").alias("a"), F.sum(1 - F.col("kind")).alias("b"))
+        .where(a >= 3 * F.sqrt(variance(a, n_pos)))  # clear if no other text has it
+        .where(a >= 3 * (b - SURE * F.sqrt(variance(b, n_unl)))).select("feature", "a")
     ).collect()}
     b_of, n_all = shares_of(texts, sorted(a_of))
     strength = {}

@@ -5,6 +5,7 @@ import numpy as np
 
 from anchorline.llm import toxicity as X
 from anchorline.llm.registry import QUERIES
+from tests.llm.plain import FOLDER, documents
 
 
 def test_the_risk_finds_the_informative_features():
@@ -97,3 +98,14 @@ def test_a_search_for_features_equals_the_features_of_the_text():
         text = " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12)))
         wanted = set(rnd.sample(sorted(X.text_features(" ".join(words))), 6))
         assert X.finder(wanted)(text) == sorted(X.text_features(text) & wanted)
+
+
+def test_features_given_up_early_would_not_be_chosen(spark, monkeypatch):
+    docs, labels = documents(spark).select("doc_id", "text"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    counted = []
+    whole = X.shares_of
+    monkeypatch.setattr(X, "shares_of", lambda texts, wanted: counted.append(len(wanted)) or whole(texts, wanted))
+    early = X.train(docs, labels, max_unlabelled=300)
+    monkeypatch.setattr(X, "SURE", 1e9)
+    assert X.train(docs, labels, max_unlabelled=300) == early
+    assert counted[0] < counted[1]
